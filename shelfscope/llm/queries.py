@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, render, tokens, topk
+from . import mixing, pii, quality, render, tokens, topk
 from .shared import table
 
 
@@ -30,7 +30,21 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_token_counts, op6_html_text, op7_exact_top_k, op8_personal_data)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op4_token_counts,
+        op6_html_text,
+        op7_exact_top_k,
+        op8_personal_data,
+        op10_quality,
+    )
+}
 
 ORACLES = {
     "op1_mix_sources": r"""
