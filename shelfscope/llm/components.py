@@ -1,0 +1,33 @@
+"""Connected components of a table of links, without collecting anything."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import materialize
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of links (u, v); the component is its smallest node.
+
+    Links are turned into stars in turns: each node points its larger neighbours to its smallest one, then itself and its smaller
+    neighbours. Both steps are a minimum by node joined back to the links, so a node with very many neighbours is a skewed join
+    and never a group in memory. Rounds grow with the logarithm of the longest path. Null ends are ignored; no links, no rows.
+    """
+    now = materialize(links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    before = None
+    while (state := _state(now)) != before:
+        before = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        now = materialize(large, "large-star")
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        small = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
