@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,6 +36,20 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.split("/batch=")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects its garbage; ask for it where a step leaves many behind."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(text: str = "text"):
     """128 bits that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
