@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, pii, quality, render, suffixes, tokens, topk
+from . import decontaminate, licenses, mixing, near_dup, pii, quality, render, suffixes, tokens, topk
 from .shared import table
 
 
@@ -12,6 +12,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.train(spark))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.extract_text(table(spark, sf_dir, "pages"))
 
@@ -46,8 +54,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_license_scan,
         op3_near_duplicates,
         op4_token_counts,
+        op5_benchmark_hits,
         op6_html_text,
         op7_exact_top_k,
         op8_personal_data,
