@@ -23,6 +23,10 @@ def row_hash(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def text_size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size) with a target for each source: weights repeat over the sources by code point (null last); a target
     stops at most times the source's size and what is left over goes to the others by weight.
@@ -71,35 +75,33 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select(F.col("of").alias("source"), F.when(nearer, F.col("start") + 1).otherwise(F.col("start")).alias("below"))
 
 
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """One row for each source: of, source_size, target, whole (times that every row is taken), below (rows with a hash below it
+    are taken once more)."""
+    rows = materialize(docs.select(F.col(source_col).alias("source"), text_size(text_col).alias("size"), row_hash(id_col).alias("hash")), "mix-rows")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, weights, most), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
+    plan = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    limits = _threshold(rows, plan.select("source", "rest").where(F.col("rest") > 0))
+    decided = plan.alias("p").join(limits.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
+    return materialize(decided.select(F.col("p.source").alias("of"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), "mix-plan")
+
+
 def mix_to_targets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken, copies.
+    """docs with size, source_size, target, taken and copies; columns of docs with these names are replaced.
 
     size counts runs of characters other than space and \\t to \\r (null text: 0). Sources sorted by code point, null last, weigh
     `weights`, repeating, and share all words; no target exceeds `most` times the words of its source, and the excess goes to the
     others by weight. taken = copies * size are the words that the mix takes of a row; copies is 0 to `most`. Rows of one source
     with the same id (or null ids) share a hash and are taken alike. The same input gives the same result in every run. Sources
-    without words have the target 0; an empty table gives an empty result; other columns are ignored. The number of sources is
-    taken to be small (one row for each is sorted in one task); rows and hot sources are not.
+    without words have the target 0; an empty table gives an empty result. The number of sources is taken to be small (one row
+    for each is sorted in one task); rows and hot sources are not.
     """
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        row_hash(id_col).alias("hash"),
-    )
-    rows = materialize(slim, "mix-rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, most), "mix-targets")
-    # whole takes of everything, and a rest for the threshold
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
-    plan = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    limits = _threshold(rows, plan.select("source", "rest").where(F.col("rest") > 0))
-    decided = (
-        plan.alias("p")
-        .join(limits.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
-        .select(F.col("p.source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
-    )
-    decided = materialize(decided, "mix-plan")
-    joined = rows.join(decided, rows["source"].eqNullSafe(decided["plan_source"]))
-    copies = (F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, most=most)
+    new = ("size", "source_size", "target", "taken", "copies")
+    keep = [c for c in docs.columns if c not in new]
+    named = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
+    joined = docs.select(*keep, text_size(text_col).alias("size"), row_hash(id_col).alias("__hash")).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
+    copies = (F.col("__whole") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0)).cast("long")
+    return joined.select(*keep, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))

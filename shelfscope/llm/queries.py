@@ -9,7 +9,7 @@ from .shared import table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
+    return mixing.mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
