@@ -113,31 +113,36 @@ def _suffixes_of(pieces: list[tuple[int, int, bytes]], least: int) -> tuple[np.n
     return text, lo + base, hi + base, grams[suffix].view(np.int64), ctx.view(np.int64)
 
 
-def text_ids(text: Column) -> tuple[Column, Column]:
-    """120 bits of the MD5 of a text as two longs, by which equal texts meet."""
-    h = F.md5(text)
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("t1"), F.conv(F.substring(h, 16, 15), 16, 10).cast("long").alias("t2")
+#: An entry's place is one long: the first start of its windows, and in the last bits how many starts follow.
+_SPAN_BITS = 12
+_ENTRY = "t long, at long, key long, ctx long"
+_STRETCH = "key long, t long, lo long, bytes binary"
+#: Texts of one key that are compared in one place.
+TOGETHER = 200
 
 
-_ENTRY = "t1 long, t2 long, lo int, hi int, key long, ctx long"
-_REP = ("t1", "t2", "lo", "hi")
+def text_id(text: str = "text") -> Column:
+    """64 bits by which equal texts meet."""
+    return F.xxhash64(text).alias("t")
 
 
 def suffix_entries(texts: DataFrame, least: int) -> DataFrame:
-    """One row for each suffix of the sparse array of texts (t1, t2, text)."""
+    """One row for each suffix of the sparse array of texts (t, text)."""
+    if not GRAM < least <= GRAM + (1 << _SPAN_BITS):
+        raise ValueError(f"least must be above {GRAM} and at most {GRAM + (1 << _SPAN_BITS)}")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            t1, t2 = b["t1"].to_numpy(), b["t2"].to_numpy()
-            for text, lo, hi, key, ctx in sparse_suffixes([t.encode("utf-8", "surrogatepass") for t in b["text"]], least):
-                yield pd.DataFrame({"t1": t1[text], "t2": t2[text], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "key": key, "ctx": ctx})
+            t = b["t"].to_numpy()
+            for text, lo, hi, key, ctx in sparse_suffixes([x.encode("utf-8", "surrogatepass") for x in b["text"]], least):
+                yield pd.DataFrame({"t": t[text], "at": (lo << _SPAN_BITS) + (hi - lo), "key": key, "ctx": ctx})
 
     return texts.mapInPandas(cut, _ENTRY)
 
 
 def _array(entries: DataFrame, count: Column) -> DataFrame:
     """Entries as a sorted array: one row for each text that a suffix stands in, with its count and one place."""
-    found = entries.groupBy("key", "ctx").agg(F.sum(count).alias("n"), *(F.first(c).alias(c) for c in _REP))
+    found = entries.groupBy("key", "ctx").agg(F.sum(count).alias("n"), F.first("t").alias("t"), F.first("at").alias("at"))
     return materialize(found.sortWithinPartitions("key", "ctx"), "suffix-array")
 
 
@@ -146,66 +151,66 @@ class SuffixIndexFamily:
 
     def __init__(self, least: int):
         self.least, self.levels = least, []  # (number of batches, array)
-        self.repeats: list[DataFrame] = []  # (t1, t2, lo, hi): all windows from lo to hi are repeated
-        self.unsure: list[DataFrame] = []  # entries of which only some windows may be
+        self.repeats: list[DataFrame] = []  # (t, at): all windows of these places are repeated
 
-    def add(self, entries: DataFrame) -> None:
-        """Merge-scan the entries of a new batch against all arrays, then add them to the family."""
-        new = _array(entries, F.lit(1))
-        scanned = reduce(DataFrame.unionByName, [t.withColumn("fresh", F.lit(0)) for _, t in self.levels], new.withColumn("fresh", F.lit(1)))
-        is_old = F.col("fresh") == 0
-        merged = scanned.groupBy("key", "ctx").agg(
-            F.sum("n").alias("n"),
-            F.sum(F.when(is_old, F.col("n")).otherwise(0)).alias("n_old"),
-            F.max("fresh").alias("fresh"),
-            *(F.first(c).alias(c) for c in _REP),
-            *(F.first(F.when(is_old, F.col(c)), ignorenulls=True).alias(f"old_{c}") for c in _REP),
-        )
-        same = materialize(merged.where("fresh = 1 AND n > 1").select("key", "ctx", "n_old", *(f"old_{c}" for c in _REP)), "equal-entries")
-        here = entries.join(same.select("key", "ctx"), ["key", "ctx"]).select(*_REP)
-        there = same.where("n_old = 1").select(*(F.col(f"old_{c}").alias(c) for c in _REP))
-        self.repeats.append(materialize(here.unionByName(there), "repeats"))
-        several = merged.groupBy("key").agg(F.count("*").alias("texts"), F.max("fresh").alias("touched")).where("texts > 1 AND touched = 1").select("key")
-        self.unsure.append(materialize(merged.join(several, "key").select("key", "ctx", *_REP), "unsure"))
-        self.levels.append((1, new))
+    def merge_equal(self) -> None:
+        """Merge the last arrays while they stand for equally many batches."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * n, _array(a.unionByName(b), F.col("n"))))
             drop_table(a)
             drop_table(b)
+
+    def add(self, entries: DataFrame) -> None:
+        """Merge-scan the entries of a new batch against all arrays, and add them to the family."""
+        self.merge_equal()
+        new = _array(entries, F.lit(1))
+        none = F.lit(None).cast("long")
+        merged = new.select("key", "ctx", "n", F.lit(0).alias("n_old"), none.alias("old_t"), none.alias("old_at"), F.lit(1).alias("fresh"))
+        for _, level in self.levels:
+            merged = merged.unionByName(level.select("key", "ctx", "n", F.col("n").alias("n_old"), F.col("t").alias("old_t"), F.col("at").alias("old_at"), F.lit(0).alias("fresh")))
+        if self.levels:
+            merged = merged.groupBy("key", "ctx").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "n_old"), (F.max, "old_t"), (F.max, "old_at"), (F.max, "fresh"))))
+        same = materialize(merged.where("fresh = 1 AND n > 1").select("key", "ctx", "n_old", "old_t", "old_at"), "equal-entries")
+        here = entries.join(same.select("key", "ctx"), ["key", "ctx"]).select("t", "at")
+        # one that stood alone is a repeat now; of several each has become one before
+        there = same.where("n_old = 1").select(F.col("old_t").alias("t"), F.col("old_at").alias("at"))
+        self.repeats.append(materialize(here.unionByName(there), "repeats"))
+        self.levels.append((1, new))
         drop_table(same)
         let_go(entries.sparkSession)
 
     def repeated(self, texts: DataFrame) -> DataFrame:
-        """(t1, t2, lo, hi) of all repeated windows; texts (t1, t2, text) are read again where entries have to be compared."""
+        """(t, at) of all repeated windows; texts (t, text) are read again where entries have to be compared."""
         least = self.least
-        entries = reduce(DataFrame.unionByName, self.unsure).groupBy("key", "ctx").agg(*(F.first(c).alias(c) for c in _REP))
-        asked = entries.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("asked"))
-        found = asked.join(texts, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", "asked", "text")
+        entries = reduce(DataFrame.unionByName, [t for _, t in self.levels])
+        several = entries.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key")
+        asked = entries.join(several, "key").groupBy("t").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        asked = materialize(asked, "asked")
+        let_go(texts.sparkSession)
+        found = asked.join(texts, "t").dropDuplicates(["t"]).select("t", "asked", "text")
         cut = materialize(found.mapInPandas(lambda it: _stretches(it, least), _STRETCH), "stretches")
+        let_go(texts.sparkSession)
         # the few texts of most keys are compared in one place; keys with many texts by counting each window
         many = cut.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") > TOGETHER).select("key")
         few = cut.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-        some = few.mapInPandas(lambda it: _equal_windows(it, least), "t1 long, t2 long, lo int, hi int")
-        each = cut.join(many, "key").mapInPandas(lambda it: _all_windows(it, least), "key long, window long, t1 long, t2 long, start int")
+        some = few.mapInPandas(lambda it: _equal_windows(it, least), "t long, at long")
+        each = cut.join(many, "key").mapInPandas(lambda it: _all_windows(it, least), "key long, window long, t long, at long")
         twice = each.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window")
-        rest = each.join(twice, ["key", "window"]).select("t1", "t2", F.col("start").alias("lo"), F.col("start").alias("hi"))
+        rest = each.join(twice, ["key", "window"]).select("t", "at")
         return reduce(DataFrame.unionByName, self.repeats).unionByName(some).unionByName(rest)
 
 
-_STRETCH = "key long, t1 long, t2 long, lo int, bytes binary"
-#: Texts of one key that are compared in one place.
-TOGETHER = 200
-
-
 def _stretches(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     """The bytes that the windows of each entry cover."""
     for b in batches:
         rows = []
-        for t1, t2, asked, text in zip(b["t1"], b["t2"], b["asked"], b["text"], strict=True):
+        for t, asked, text in zip(b["t"], b["asked"], b["text"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            rows += [(a["key"], t1, t2, a["lo"], raw[a["lo"] : a["hi"] + least]) for a in asked]
-        yield pd.DataFrame(rows, columns=["key", "t1", "t2", "lo", "bytes"])
+            for a in asked:
+                lo, more = a["at"] >> _SPAN_BITS, a["at"] & ((1 << _SPAN_BITS) - 1)
+                rows.append((a["key"], t, lo, raw[lo : lo + more + least]))
+        yield pd.DataFrame(rows, columns=["key", "t", "lo", "bytes"])
 
 
 def _windows_of(b: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +228,7 @@ def _all_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Dat
     for b in batches:
         if len(b):
             row, start, window = _windows_of(b, least)
-            yield pd.DataFrame({"key": b["key"].to_numpy()[row], "window": window.view(np.int64), "t1": b["t1"].to_numpy()[row], "t2": b["t2"].to_numpy()[row], "start": start.astype(np.int32)})
+            yield pd.DataFrame({"key": b["key"].to_numpy()[row], "window": window.view(np.int64), "t": b["t"].to_numpy()[row], "at": start << _SPAN_BITS})
 
 
 def _equal_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -238,7 +243,7 @@ def _equal_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.D
         first = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)] if len(row) else np.empty(0, bool)
         lo = np.flatnonzero(first)
         hi = np.r_[lo[1:], len(row)] - 1 if len(lo) else lo
-        return pd.DataFrame({"t1": b["t1"].to_numpy()[row[lo]], "t2": b["t2"].to_numpy()[row[lo]], "lo": start[lo].astype(np.int32), "hi": start[hi].astype(np.int32)})
+        return pd.DataFrame({"t": b["t"].to_numpy()[row[lo]], "at": (start[lo] << _SPAN_BITS) + (start[hi] - start[lo])})
 
     held = None
     for b in batches:
@@ -260,9 +265,9 @@ def _kept(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]
             raw = text.encode("utf-8", "surrogatepass")
             removed = runs = 0
             if spans is not None and len(spans):
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, np.fromiter((s["lo"] for s in spans), np.int64, len(spans)), 1)
-                np.add.at(edge, np.fromiter((s["hi"] for s in spans), np.int64, len(spans)) + least, -1)
+                at = np.asarray(spans, np.int64)
+                lo, more = at >> _SPAN_BITS, at & ((1 << _SPAN_BITS) - 1)
+                edge = np.bincount(lo, minlength=len(raw) + 1) - np.bincount(lo + more + least, minlength=len(raw) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -278,23 +283,24 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of `least` bytes that covers it starts anywhere else too, in the same text or another; matches are
     judged on the input and never cross texts. Null texts count as empty, texts of fewer bytes lose nothing, equal texts of
     `least` bytes or more lose all. Rows with null or repeated ids are texts like any other. An empty table gives an empty
-    result; other columns are ignored. Equality is that of 128 bits of hashes. The texts join the index in `batches` batches.
+    result; other columns are ignored. Strings are equal if 128 bits of hashes are, texts if 64 bits are. The texts join the index
+    in `batches` batches.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = plain.select(*text_ids(F.col("text")), "text").where(F.octet_length("text") >= least)
-    entries = suffix_entries(texts, least).withColumn("batch", F.pmod(F.col("t1"), F.lit(batches)).cast("int"))
+    texts = plain.select(text_id(), "text").where(F.octet_length("text") >= least)
+    entries = suffix_entries(texts, least).withColumn("batch", F.pmod(F.col("t"), F.lit(batches)).cast("int"))
     entries = materialize(entries, "suffixes", partition_by="batch")
     family = SuffixIndexFamily(least)
     for b in range(batches):
         family.add(entries.where(F.col("batch") == b).drop("batch"))
     drop_table(entries)
+    marks = materialize(family.repeated(texts), "marks")
     for _, t in family.levels:
         drop_table(t)
-    marks = materialize(family.repeated(texts), "marks")
     let_go(docs.sparkSession)
-    spans = marks.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    keyed = plain.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes"), *text_ids(F.col("text")))
-    joined = keyed.join(spans, ["t1", "t2"], "left").select("id", "text", "n_bytes", "spans")
+    spans = marks.groupBy("t").agg(F.collect_list("at").alias("spans"))
+    keyed = plain.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes"), text_id())
+    joined = keyed.join(spans, "t", "left").select("id", "text", "n_bytes", "spans")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInPandas(lambda it: _kept(it, least), schema)
