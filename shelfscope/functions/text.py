@@ -96,7 +96,7 @@ def fold_latin(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def strip_html(text: Column, decode=decode_common_entities) -> Column:

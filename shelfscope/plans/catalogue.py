@@ -169,7 +169,7 @@ def _sql_decoded(expr: str) -> str:
     return expr
 
 
-_STRIPPED = "trim(regexp_replace(" + _sql_decoded("regexp_replace(replace(coalesce(html, ''), '<\\/', '</'), '<[^>]*>', ' ', 'g')") + ", '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_STRIPPED = "trim(regexp_replace(" + _sql_decoded("regexp_replace(replace(coalesce(html, ''), '<\\/', '</'), '<[^>]*>', ' ', 'g')") + ", '[ \\t\\n\\x0B\\f\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, len(s) AS chars, len(string_split(s, ' ')) AS words, sha1(s) AS text_sha1 FROM (SELECT page_id, {_STRIPPED} AS s FROM pages)")
