@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -25,6 +25,8 @@ from .shared import materialize, slices, text_key
 WORDS = 5
 #: Components of a signature, and its bands: at a similarity of 0.8 a pair shares no band with a probability of 5e-8.
 SIZE, BANDS = 128, 32
+#: Slots of the count by which elements are called rare; it is broadcast, 8 bytes a slot whatever the input.
+SKETCH = 1 << 20
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 300_000
 _known: dict[str, int] = {}
@@ -152,6 +154,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "p", "a_text", "p_text").mapInPandas(_overlaps, "a binary, p binary, similarity double").where(F.col("similarity") >= least).select("a", "p")
 
 
+def _occurrences(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bag as a set: the first, second ... occurrence of a shingle are elements of their own."""
+    which = np.arange(bag[1].sum()) - np.repeat(np.cumsum(bag[1]) - bag[1], bag[1])
+    return mixed(np.repeat(bag[0], bag[1]) + which.astype(np.uint64) * _STEP)
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for part in slices(b["text"]):
+            slots, n = np.unique(np.concatenate([_occurrences(shingle_bag(t)) for t in part]) % np.uint64(SKETCH), return_counts=True)
+            yield pd.DataFrame({"slot": slots.astype(np.int32), "n": n})
+
+
+_PREFIX = "element long, key binary, component binary, loose boolean, n int, place int"
+
+
+def _prefixes(batches: Iterator[pd.DataFrame], frequency: np.ndarray, least: float) -> Iterator[pd.DataFrame]:
+    """The rarest elements of each text; of two texts that overlap enough each holds one of the other's."""
+    for b in batches:
+        for row in b.itertuples(index=False):
+            x = _occurrences(shingle_bag(row.text))
+            x = x[np.lexsort((x, frequency[(x % np.uint64(SKETCH)).astype(np.int64)]))]
+            few = len(x) - int(np.ceil(len(x) * least - 1e-9)) + 1
+            yield pd.DataFrame({"element": x[:few].view(np.int64), "key": row.key, "component": row.component, "loose": row.loose, "n": np.int32(len(x)), "place": np.arange(few, dtype=np.int32)})
+
+
+def _remaining_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, p): the pairs of nodes (key, component, loose) that may still be similar enough: of two components, one of them loose.
+
+    Exact, by prefixes: elements are ordered from rare to frequent, and two texts that overlap enough share one of their first
+    elements, early enough for what follows to suffice. The order comes from a count of fixed size, and only speed rests on it.
+    """
+    found = materialize(nodes.join(texts, "key").select("key", "component", "loose", "text"), "loose-texts")
+    counted = found.select("text").mapInPandas(_sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(SKETCH, np.int64)
+    frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = found.sparkSession.sparkContext.broadcast(frequency)
+    first = materialize(found.mapInPandas(lambda it: _prefixes(it, shared.value, least), _PREFIX), "prefixes")
+    a, b = first.where("loose").alias("a"), first.alias("b")
+    enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9
+    once = ~F.col("b.loose") | (F.col("a.key") < F.col("b.key"))
+    met = a.join(b, (F.col("a.element") == F.col("b.element")) & (F.col("a.component") != F.col("b.component")) & once & enough)
+    return met.select(F.col("a.key").alias("a"), F.col("b.key").alias("p")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, class_size.
 
@@ -162,8 +209,9 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     result; other columns are ignored.
 
     Copies become one node before anything else. In each band the node that shares most bands with others is compared with all
-    nodes of the band. Those that don't end up in its component are compared with 8 more such nodes, then with 64, and so on,
-    until the nodes of a band that are left are one component; so no group of copies is expanded into its pairs.
+    nodes of the band, so that no group of near copies is expanded into its pairs. Nodes that this leaves outside its component
+    are loose: an exact join on the rarest elements finds all pairs between them and the nodes of their bands that may still
+    be similar enough.
     """
     key = text_key(text_col)
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
@@ -182,27 +230,22 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     fetched = plain.join(needed, "key").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("key").agg(F.first("text").alias("text"))
     texts = materialize(fetched, "candidate-texts")
 
-    links, left, pivots = None, members, 1
-    while not left.isEmpty():
-        order = Window.partitionBy("band").orderBy(F.col("standing").desc(), "key")
-        if pivots == 1:
-            chosen = left.groupBy("band").agg(F.max(F.struct("standing", "key")).alias("m")).select("band", F.col("m.key").alias("p"))
-        else:
-            chosen = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).select("band", F.col("key").alias("p"))
-        chosen = materialize(chosen, "standing-out")
-        pairs = left.join(chosen, "band").where("key <> p").select(F.col("key").alias("a"), "p").distinct()
-        good = _verified(pairs, texts, least).select(F.col("a").alias("u"), F.col("p").alias("v"))
-        links = materialize(good if links is None else links.unionByName(good), "links")
-        parts = materialize(connected_components(links), "components")
-        named = left.join(parts, left["key"] == parts["node"], "left").select("band", "key", "standing", F.coalesce("component", "key").alias("component"))
-        done = chosen.join(parts, chosen["p"] == parts["node"], "left").select("band", F.coalesce("component", "p").alias("component")).distinct()
-        rest = named.join(done, ["band", "component"], "left_anti").select("band", "key", "standing")
-        several = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        left = materialize(rest.join(several, "band"), "left")
-        pivots *= 8
-
-    if links is None:
-        parts = marked.sparkSession.createDataFrame([], "node binary, component binary")
+    chosen = members.groupBy("band").agg(F.max(F.struct("standing", "key")).alias("m")).select("band", F.col("m.key").alias("p"))
+    chosen = materialize(chosen, "standing-out")
+    pairs = members.join(chosen, "band").where("key <> p").select(F.col("key").alias("a"), "p").distinct()
+    links = materialize(_verified(pairs, texts, least).select(F.col("a").alias("u"), F.col("p").alias("v")), "links")
+    parts = materialize(connected_components(links), "components")
+
+    named = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    centre = chosen.join(parts, chosen["p"] == parts["node"], "left").select("band", F.coalesce("component", "p").alias("centre"))
+    placed = named.join(centre, "band").withColumn("loose", F.col("component") != F.col("centre"))
+    # with two nodes in a band the only pair has been compared
+    open_ = placed.groupBy("band").agg(F.count_if("loose").alias("loose_n"), F.count("*").alias("n")).where("loose_n > 0 AND n > 2").select("band")
+    rest = placed.join(open_, "band").groupBy("key").agg(F.first("component").alias("component"), F.max("loose").alias("loose"))
+    more = _verified(_remaining_pairs(materialize(rest, "loose"), texts, least), texts, least)
+    links = links.unionByName(more.select(F.col("a").alias("u"), F.col("p").alias("v")))
+    parts = materialize(connected_components(links), "components")
+
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "id", "copies", F.coalesce("component", "key").alias("component"))
     classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     # only classes of several rows are joined back
