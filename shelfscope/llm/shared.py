@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import materialize, shared_folder  # noqa: F401
+
 #: Characters of text that a task works on at once; it bounds what a Python worker holds.
 SLICE_CHARS = 2_000_000
 
@@ -18,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for intermediate tables; one of our own only where none is named, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="shelfscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/shelfscope/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession
