@@ -25,7 +25,7 @@ from .shared import materialize, slices, text_key
 WORDS = 5
 #: Components of a signature, and its bands: at a similarity of 0.8 a pair shares no band with a probability of 5e-8.
 SIZE, BANDS = 128, 32
-#: Slots of the count by which elements are called rare; it is broadcast, 8 bytes a slot whatever the input.
+#: Slots of the count by which elements are called rare; it is broadcast, 4 bytes a slot whatever the input.
 SKETCH = 1 << 20
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 300_000
@@ -187,9 +187,12 @@ def _remaining_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFr
     elements, early enough for what follows to suffice. The order comes from a count of fixed size, and only speed rests on it.
     """
     found = materialize(nodes.join(texts, "key").select("key", "component", "loose", "text"), "loose-texts")
-    counted = found.select("text").mapInPandas(_sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    frequency = np.zeros(SKETCH, np.int64)
-    frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    counted = materialize(found.select("text").mapInPandas(_sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "element-counts")
+    # only slots far above the mean come to the driver, a quarter of them at most; the rest is called rare
+    usual = (counted.agg(F.sum("n")).first()[0] or 0) / SKETCH
+    often = counted.where(F.col("n") > max(4 * usual, 8)).toPandas()
+    frequency = np.zeros(SKETCH, np.int32)
+    frequency[often["slot"].to_numpy()] = np.minimum(often["n"].to_numpy(), 2**31 - 1)
     shared = found.sparkSession.sparkContext.broadcast(frequency)
     first = materialize(found.mapInPandas(lambda it: _prefixes(it, shared.value, least), _PREFIX), "prefixes")
     a, b = first.where("loose").alias("a"), first.alias("b")

@@ -118,7 +118,7 @@ _SPAN_BITS = 12
 _ENTRY = "t long, at long, key long, ctx long"
 _STRETCH = "key long, t long, lo long, bytes binary"
 #: Texts of one key that are compared in one place.
-TOGETHER = 200
+TOGETHER = 10_000
 
 
 def text_id(text: str = "text") -> Column:
