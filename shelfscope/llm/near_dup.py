@@ -236,7 +236,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = members.groupBy("band").agg(F.max(F.struct("standing", "key")).alias("m")).select("band", F.col("m.key").alias("p"))
     chosen = materialize(chosen, "standing-out")
     pairs = members.join(chosen, "band").where("key <> p").select(F.col("key").alias("a"), "p").distinct()
-    links = materialize(_verified(pairs, texts, least).select(F.col("a").alias("u"), F.col("p").alias("v")), "links")
+    links = _verified(pairs, texts, least).select(F.col("a").alias("u"), F.col("p").alias("v"))
     parts = materialize(connected_components(links), "components")
 
     named = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", F.coalesce("component", "key").alias("component"))
@@ -245,11 +245,15 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # with two nodes in a band the only pair has been compared
     open_ = placed.groupBy("band").agg(F.count_if("loose").alias("loose_n"), F.count("*").alias("n")).where("loose_n > 0 AND n > 2").select("band")
     rest = placed.join(open_, "band").groupBy("key").agg(F.first("component").alias("component"), F.max("loose").alias("loose"))
-    more = _verified(_remaining_pairs(materialize(rest, "loose"), texts, least), texts, least)
-    links = links.unionByName(more.select(F.col("a").alias("u"), F.col("p").alias("v")))
-    parts = materialize(connected_components(links), "components")
+    rest = materialize(rest, "loose")
+    more = _verified(_remaining_pairs(rest, texts, least), texts, least)
+    # what they connect is whole components, of which few are left
+    of = rest.select("key", "component")
+    more = more.join(of.toDF("a", "u"), "a").join(of.toDF("p", "v"), "p").select("u", "v").distinct()
+    joined = materialize(connected_components(more), "joined-components").toDF("node", "joined")
 
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "id", "copies", F.coalesce("component", "key").alias("component"))
+    named = named.join(joined, named["component"] == joined["node"], "left").select("key", "id", "copies", F.coalesce("joined", "component").alias("component"))
     classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     # only classes of several rows are joined back
     named = named.join(classes.where("class_size > 1"), "component").select("key", "class_id", "class_size")
