@@ -1,13 +1,18 @@
 """Licence scans with a trained paragraph classifier, with DataFrame operations only.
 
-Paragraphs (lines) that hold a cue word become bags of word n-grams; an n-gram counts only if it holds a cue, so a paragraph
-without one has no features and needs no scoring. A sparse multinomial logistic regression, trained on notices of each family in
-many wordings, tells the family. A class of its own stands for text that is no licence, and the confidence that a family needs is
-set on notices and other text that training didn't see. A prediction is confirmed by comparison with the templates of its family.
+Lines that hold a cue (a word of notices or the name of a family) become bags of all their word n-grams. A sparse multinomial
+logistic regression, trained on notices of each family in many wordings, tells the family. A class of its own stands for text that
+is no licence, and the confidence that a family needs is set on notices and other text that training didn't see. Apart from that
+each line, and each paragraph with its lines folded, is compared with the templates of all families. More than a quarter of the runs
+of every template hold a cue, so no text that holds three quarters of a template is passed over.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -42,10 +47,15 @@ OTHER = (
     "fishing without a license is not permitted here",
 )
 _FILLER = "we have seen that the results of each year and their sum are in this table as far as it goes see also our other pages for more of them thank you".split()
-CUE = r"(?i)licen[sc]|copyright|permission|permitted|warrant|redistribut|public domain|rights reserved|related rights|\bcc[ -]?(?:by|0)|compliance with"
-_CUE_WORD = r"licen[sc]|copyright|permission|permitted|warrant|redistribut|domain|reserved|\brights\b|\bcc\b|\bcc0\b|\bcompliance\b"
+CUE = (
+    r"(?i)licen[sc]|copyright|permission|permitted|warrant|redistribut|public\s+domain|rights\s+reserved|related\s+rights|\bcc[ -]?(?:by|0)|compliance\s+with"
+    r"|\bgnu\b|affero|\b[al]?gpl|apache|\bbsd\b|mozilla|\bmpl\b|creative\s+commons|non-?commercial|share-?alike|(?-i:\bMIT\b)"
+    r"|hereby\s+granted|free\s+of\s+charge|obtaining\s+a\s+copy|source\s+and\s+binary|applicable\s+law|agreed\s+to\b|software\s+distributed|be\s+reproduced"
+)
+#: Each text that has a cue holds one of these in lower case (or MIT); texts without are sorted out by plain search, which is faster.
+PLAIN = "licens licenc copyright permission permitted warrant redistribut domain reserved related ccby cc0 cc-by cc-0 compliance gnu affero gpl apache bsd mozilla mpl commons commercial sharealike share-alike hereby charge obtaining binary applicable agreed software reproduced".split() + ["cc by", "cc 0"]
 #: Longest n-gram, share of a template's three-word runs that a paragraph must hold, least confidence in any case.
-N, OVERLAP, CONFIDENCE = 3, 0.75, 0.5
+N, OVERLAP, CONFIDENCE = 4, 0.75, 0.5
 #: Share of the unseen texts without a licence that may be taken for a family before the templates are compared.
 FALSE_ALARMS = 0.1
 
@@ -54,6 +64,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
 
 
+def cued(text: Column) -> Column:
+    """Whether a text has a cue."""
+    plain = F.exists(F.array(F.lower(text)), lambda x: reduce(lambda a, b: a | b, (x.contains(p) for p in PLAIN)))
+    return (plain | text.contains("MIT")) & text.rlike(CUE)
+
+
 def grams(w: Column, n: int) -> Column:
     """The runs of n words; none where there are fewer."""
     some = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
@@ -61,8 +77,49 @@ def grams(w: Column, n: int) -> Column:
 
 
 def features(w: Column) -> Column:
-    """All n-grams that hold a cue."""
-    return F.filter(F.concat(*(grams(w, n) for n in range(1, N + 1))), lambda g: g.rlike(_CUE_WORD))
+    """All n-grams."""
+    return F.concat(*(grams(w, n) for n in range(1, N + 1)))
+
+
+def template_runs(text: str) -> list[str]:
+    """The distinct three-word runs of a template."""
+    w = re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
+    return list(dict.fromkeys(" ".join(w[i : i + 3]) for i in range(len(w) - 2)))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def template_hits(text: Column) -> Column:
+    """The runs of a text that are runs of a template of any family."""
+    known = _strings(sorted({r for ts in TEMPLATES.values() for t in ts for r in template_runs(t)}))
+    return _bound(words(text), lambda w: F.array_intersect(known, grams(w, 3)))
+
+
+def confirmed_families(hits: Column) -> Column:
+    """The families of which a template is held; not one whose runs are all explained by a template of another family that is held
+    with more runs (of the notice of one licence a good part stands in those of its relatives)."""
+    all_ = F.array(*(F.struct(F.lit(f).alias("family"), _strings(template_runs(t)).alias("runs")) for f, ts in TEMPLATES.items() for t in ts))
+    met = F.transform(all_, lambda t: F.struct(t["family"].alias("family"), t["runs"].alias("runs"), F.array_intersect(t["runs"], hits).alias("held")))
+    held = F.filter(met, lambda t: F.size(t["held"]) >= F.size(t["runs"]) * OVERLAP)
+    explains = lambda y, x: (y["family"] != x["family"]) & (F.size(y["held"]) > F.size(x["held"])) & (F.size(F.array_except(x["held"], y["runs"])) == 0)
+    own = lambda ts: F.filter(ts, lambda x: ~F.exists(ts, lambda y: explains(y, x)))
+    return _bound(held, lambda ts: F.array_distinct(F.transform(own(ts), lambda x: x["family"])))
+
+
+def template_overlap(family: Column, hits: Column) -> Column:
+    """The largest share of the runs of a template of the family that is held; 0 for no family."""
+    share = lambda t: F.size(F.array_intersect(_strings(t), hits)) / len(t)
+    out = F.lit(0.0)
+    for f, ts in TEMPLATES.items():
+        out = F.when(family == f, F.array_max(F.array(*(share(template_runs(t)) for t in ts)))).otherwise(out)
+    return out
 
 
 def _rows(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
@@ -93,13 +150,14 @@ class LicenseClassifier:
         self.model, self.families, self.confidence = model, families, confidence
 
     def scores(self, paragraphs: DataFrame) -> DataFrame:
-        """paragraphs with words and features, predicted family and its probability; unknown where it is not believed."""
+        """paragraphs with words and features, predicted family and its probability; unknown where it is not believed. p holds the
+        probabilities of all classes."""
         p = vector_to_array("probability")
         scored = self.model.transform(paragraphs).withColumn("p", p).drop("probability", "rawPrediction", "prediction", "counts")
         best = F.array_max("p")
         name = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("p", best).cast("int"))
         believed = (name != UNKNOWN) & (best >= self.confidence)
-        return scored.withColumn("family", F.when(believed, name).otherwise(UNKNOWN)).withColumn("probability", best).drop("p")
+        return scored.withColumn("family", F.when(believed, name).otherwise(UNKNOWN)).withColumn("probability", best)
 
 
 def train(spark: SparkSession) -> LicenseClassifier:
@@ -116,22 +174,31 @@ def train(spark: SparkSession) -> LicenseClassifier:
 
 
 def scan_licenses(docs: DataFrame, classifier: LicenseClassifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each paragraph with a cue word: doc_id, paragraph (from 0), family, probability, template_overlap, confirmed.
+    """One row for each line with a cue, and one for each paragraph whose folded lines hold a notice that no line of it holds alone:
+    doc_id, paragraph (the line, from 0; of folded lines the first), family, probability, template_overlap, confirmed.
 
-    Paragraphs are the lines of a text. family is "unknown" where no family is believed; confirmed tells that the paragraph also
-    holds three quarters of the three-word runs of a template of its family. Null and empty texts, and texts without cues, have
-    no rows. Whole texts are read; repeated rows and null ids are kept; other columns are ignored.
+    Paragraphs are parted by blank lines. confirmed tells that the text holds three quarters of the three-word runs of a template
+    of its family; all families are compared, and a text with the notices of several has a row for each. Where none is held, the
+    family is the predicted one, or "unknown" where none is believed. probability is that of the family. Null and empty texts, and
+    texts without cues, have no rows. Whole texts are read; repeated rows and null ids are kept; other columns are ignored.
     """
-    spark = docs.sparkSession
-    hinted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CUE))
-    each = hinted.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(CUE))
-    worded = each.select("doc_id", "paragraph", words(F.col("line")).alias("w")).withColumn("features_text", features(F.col("w")))
-    scored = classifier.scores(worded)
-    models = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], ("template_family", "template")).select("template_family", grams(words(F.col("template")), 3).alias("runs"))
-    models = models.groupBy("template_family").agg(F.collect_list("runs").alias("templates"))
-    met = scored.join(models, scored["family"] == models["template_family"], "left")
-    runs = grams(F.col("w"), 3)
-    share = lambda t: F.size(F.array_intersect(t, runs)) / F.size(F.array_distinct(t))
-    overlap = F.coalesce(F.array_max(F.transform("templates", share)), F.lit(0.0))
-    out = met.withColumn("template_overlap", overlap)
-    return out.select("doc_id", "paragraph", "family", "probability", "template_overlap", ((F.col("family") != UNKNOWN) & (F.col("template_overlap") >= OVERLAP)).alias("confirmed"))
+    hinted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(cued(F.col("text")))
+    lines = F.col("lines")
+    filled = hinted.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("filled", F.transform("lines", lambda x: x.rlike(r"\S")))
+    at = lambda i: F.coalesce(F.get("filled", i), F.lit(False))
+    edges = lambda step: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: at(i) & ~at(i + step))
+    blocks = F.zip_with(edges(-1), edges(1), lambda a, b: F.struct(a.alias("first"), F.slice(lines, a + 1, b - a + 1).alias("lines")))
+    each = filled.select("doc_id", F.explode(blocks).alias("b")).select("doc_id", "b.first", "b.lines").withColumn("folded", F.array_join("lines", " ")).where(F.col("folded").rlike(CUE))
+    candidate = lambda line, text: _bound(template_hits(text), lambda h: F.struct(line.alias("paragraph"), text.alias("text"), h.alias("hits"), confirmed_families(h).alias("found")))
+    numbered = F.transform("lines", lambda x, i: F.struct((F.col("first") + i).alias("line"), x.alias("text")))
+    alone = F.transform(F.filter(numbered, lambda x: x["text"].rlike(CUE)), lambda x: candidate(x["line"], x["text"]))
+    each = each.withColumn("alone", alone).withColumn("all", F.when(F.size("lines") > 1, candidate(F.col("first"), F.col("folded"))))
+    more = F.array_except("all.found", F.flatten(F.transform("alone", lambda x: x["found"])))
+    folded = F.struct(F.col("all.paragraph").alias("paragraph"), F.col("all.text").alias("text"), F.col("all.hits").alias("hits"), more.alias("found"))
+    with_folded = F.when(F.col("all").isNotNull() & (F.size(more) > 0), F.concat("alone", F.array(folded))).otherwise(F.col("alone"))
+    rows = each.select("doc_id", F.explode(with_folded).alias("c")).select("doc_id", "c.*")
+    worded = rows.withColumn("features_text", _bound(words(F.col("text")), features)).drop("text")
+    scored = classifier.scores(worded).drop("features_text").withColumn("one", F.explode_outer("found"))
+    of = F.element_at("p", F.array_position(_strings(classifier.families), F.col("one")).cast("int"))
+    scored = scored.withColumn("probability", F.when(F.col("one").isNotNull(), of).otherwise(F.col("probability"))).withColumn("family", F.coalesce("one", "family"))
+    return scored.select("doc_id", "paragraph", "family", "probability", template_overlap(F.col("family"), F.col("hits")).alias("template_overlap"), F.col("one").isNotNull().alias("confirmed"))

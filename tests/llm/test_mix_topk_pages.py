@@ -92,3 +92,24 @@ def test_licences(spark):
     assert confirmed == sorted([(0, 0, "proprietary"), (1, 1, "mit"), (1, 1, "mit"), (4, 0, "cc-by-sa"), (5, 0, "cc-by"), (7, 0, "apache"), (None, 0, "proprietary")], key=repr)
     assert {r.doc_id for r in got if not r.confirmed} >= {6, 8}
     assert licenses.scan_licenses(docs.limit(0), licenses.train(spark)).count() == 0
+
+
+def test_licences_of_one_kin_wrapped_and_without_cue_words(spark):
+    agpl = "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+    texts = [
+        "This is free: " + agpl + ".", "licensed under the GNU Lesser General Public License version 3", agpl.replace("Affero ", ""),
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Title\n\nPermission is hereby granted, free\nof charge, to any person obtaining\na copy of this software\n\nend", "available under the GNU GPL version 2 or later",
+        "Released under the MIT License, or licensed under the Apache License, Version 2.0",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(docs, licenses.train(spark)).collect()
+    confirmed = sorted((r.doc_id, r.paragraph, r.family) for r in got if r.confirmed)
+    assert confirmed == [(0, 0, "agpl"), (1, 0, "lgpl"), (2, 0, "gpl"), (3, 0, "cc-by-nc"), (4, 0, "cc-by-sa"), (5, 2, "mit"), (6, 0, "gpl"), (7, 0, "apache"), (7, 0, "mit")]
+
+
+def test_every_template_needs_a_cue():
+    cue = re.compile(licenses.CUE.replace(r"(?-i:\bMIT\b)", r"\bMIT\b"))
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        runs = licenses.template_runs(t)
+        assert sum(cue.search(r) is not None for r in runs) > len(runs) * (1 - licenses.OVERLAP), t
