@@ -162,9 +162,9 @@ class SuffixIndexFamily:
             drop_table(b)
 
     def add(self, entries: DataFrame) -> None:
-        """Merge-scan the entries of a new batch against all arrays, and add them to the family."""
+        """Merge-scan the entries (distinct, with the copies of their text) of a new batch against all arrays, and add them to the family."""
         self.merge_equal()
-        new = _array(entries, F.lit(1))
+        new = _array(entries, F.col("copies"))
         none = F.lit(None).cast("long")
         merged = new.select("key", "ctx", "n", F.lit(0).alias("n_old"), none.alias("old_t"), none.alias("old_at"), F.lit(1).alias("fresh"))
         for _, level in self.levels:
@@ -188,7 +188,8 @@ class SuffixIndexFamily:
         asked = entries.join(several, "key").groupBy("t").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
         asked = materialize(asked, "asked")
         let_go(texts.sparkSession)
-        found = asked.join(texts, "t").dropDuplicates(["t"]).select("t", "asked", "text")
+        once = texts.groupBy("t").agg(F.first("text").alias("text"))
+        found = asked.join(once, "t").select("t", "asked", "text")
         cut = materialize(found.mapInPandas(lambda it: _stretches(it, least), _STRETCH), "stretches")
         let_go(texts.sparkSession)
         # the few texts of most keys are compared in one place; keys with many texts by counting each window
@@ -288,7 +289,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = plain.select(text_id(), "text").where(F.octet_length("text") >= least)
-    entries = suffix_entries(texts, least).withColumn("batch", F.pmod(F.col("t"), F.lit(batches)).cast("int"))
+    # equal texts have equal entries: each is kept once, with the number of copies
+    entries = suffix_entries(texts, least).groupBy("t", "at", "key", "ctx").agg(F.count("*").alias("copies")).withColumn("batch", F.pmod(F.col("t"), F.lit(batches)).cast("int"))
     entries = materialize(entries, "suffixes", partition_by="batch")
     family = SuffixIndexFamily(least)
     for b in range(batches):
@@ -298,7 +300,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     for _, t in family.levels:
         drop_table(t)
     let_go(docs.sparkSession)
-    spans = marks.groupBy("t").agg(F.collect_list("at").alias("spans"))
+    spans = marks.groupBy("t").agg(F.collect_set("at").alias("spans"))
     keyed = plain.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes"), text_id())
     joined = keyed.join(spans, "t", "left").select("id", "text", "n_bytes", "spans")
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -223,3 +223,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["near_duplicates"]) - set(kept["benchmark"]) == {162} & set(kept["near_duplicates"])
     assert all("@" not in (r.text or "") and r.n_chars == len(r.text) for r in kept["personal_data"].values() if r.text is not None)
     assert all(r.copies > 0 and r.taken == r.copies * r.size for r in kept["mix"].values())
+
+
+def test_copies_of_a_text_do_not_multiply_marks(spark, monkeypatch):
+    rows, real = {}, suffixes.materialize
+
+    def counted(df, name, **more):
+        out = real(df, name, **more)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", counted)
+    text, other = prose(400), prose(100)
+    docs = spark.createDataFrame([(i, text) for i in range(60)] + [(99, other)], "doc_id long, text string")
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs).collect())
+    assert got == Counter(_kept([text] * 60 + [other], 200))
+    one = sum(len(t) for t, *_ in suffixes.sparse_suffixes([text.encode()], 200))
+    assert rows["repeats"] == rows["marks"] == one
