@@ -216,6 +216,12 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     are loose: an exact join on the rarest elements finds all pairs between them and the nodes of their bands that may still
     be similar enough.
     """
+    return _judged(docs, id_col, text_col, least).select("doc_id", "class_id", "class_size")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """near_duplicate_classes with the key of each row's text and, where its class has several rows, the id and key of the row
+    that stands for the class: of the smallest id (nulls last) and, where several texts have it, the smallest key."""
     key = text_key(text_col)
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
     marked = materialize(plain.select("id", "key", (F.col("text") == "").alias("blank"), F.pandas_udf(_bands, "array<long>")("text").alias("bands")), "signatures")
@@ -254,23 +260,28 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "id", "copies", F.coalesce("component", "key").alias("component"))
     named = named.join(joined, named["component"] == joined["node"], "left").select("key", "id", "copies", F.coalesce("joined", "component").alias("component"))
-    classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
+    classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     # only classes of several rows are joined back
-    named = named.join(classes.where("class_size > 1"), "component").select("key", "class_id", "class_size")
+    named = named.join(classes.where("class_size > 1"), "component").select("key", "class_id", "class_size", "first")
     back = marked.select("id", "key", "blank").join(named, "key", "left")
     return back.select(
         F.col("id").alias("doc_id"),
         F.when(~F.col("blank") & F.col("class_size").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(~F.col("blank"), F.coalesce("class_size", F.lit(1))).otherwise(1).cast("long").alias("class_size"),
+        "key",
+        F.when(~F.col("blank"), F.col("first")).alias("first"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of docs that stand for their class: the one with the smallest id; of repeated rows one stays. Rows with a null id
-    stay only where no row of their class has an id."""
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, least=least)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    several = classes.where((F.col("class_size") > 1) & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__same"))
-    repeated = kept.join(several, F.col(id_col).eqNullSafe(F.col("__same")), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(several, F.col(id_col).eqNullSafe(F.col("__same")), "left_anti").unionByName(repeated)
+    stay only where no row of their class has an id. Only the row that is a copy goes, not others with its id."""
+    judged = _judged(docs, id_col, text_col, least).where("first IS NOT NULL")
+    first = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("key") == F.col("first.key"))
+    rows = materialize(judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.max(first).alias("stays"), F.count("*").alias("n")), "judged")
+    keyed = docs.withColumn("__key", text_key(text_col))
+    same = (F.col("__key") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = keyed.join(rows.where("NOT stays"), same, "left_anti")
+    several = rows.where("stays AND n > 1")
+    repeated = kept.join(several, same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(several, same, "left_anti").unionByName(repeated).drop("__key")

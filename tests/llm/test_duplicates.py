@@ -225,6 +225,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.copies > 0 and r.taken == r.copies * r.size for r in kept["mix"].values())
 
 
+def test_only_the_copy_goes_not_other_rows_with_its_id(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "u v w x y z"), (4, "k l m n o p q"), (6, "k l m n o p q"), (6, "one two three four five six"), (6, "one two three four five six"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[2], rows[3], rows[5], rows[7]])
+
+
 def test_copies_of_a_text_do_not_multiply_marks(spark, monkeypatch):
     rows, real = {}, suffixes.materialize
 
