@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_uppercase
 
 import ahocorasick
 import pandas as pd
@@ -53,6 +54,10 @@ def _anchors() -> ahocorasick.Automaton:
         for cue in cues:
             for form in {cue, cue.capitalize(), cue.upper()}:
                 found.add_word(form, (kind, len(form)))
+    for a in ascii_uppercase:
+        for b in ascii_uppercase:
+            for d in "0123456789":
+                found.add_word(f"{a}{b}{d}", ("iban", 3))
     for prefix in _KEY_PREFIX:
         found.add_word(prefix, ("key_id", len(prefix)))
     found.make_automaton()
@@ -123,18 +128,20 @@ class _Scan:
     def account(self, at: int, size: int) -> None:
         if at < self.end["account"]:
             return
-        near = self.text[at + size : at + size + 60]
-        for m in re.finditer(r"\b(?=[A-Z]{2}[0-9]{2})", near):
-            if iban := _IBAN.match(near, m.start()):
-                words = iban[0]
-                while len(words) >= 15:  # a word that follows may look like a part of it
-                    if _mod97(words.replace(" ", "")):
-                        start = at + size + m.start()
-                        return self.take("account", start, start + len(words))
-                    words = words.rpartition(" ")[0]
         if m := _NUMBER.match(self.text, at + size):
             self.take("account", m.start(1), m.end(1))
 
+    def iban(self, at: int, _: int) -> None:
+        before = self.text[at - 1 : at]
+        if at < self.end["account"] or before.isalnum() or before == "_":
+            return
+        if m := _IBAN.match(self.text, at):
+            words = m[0]
+            while len(words) >= 15:  # a word that follows may look like a part of it
+                if _mod97(words.replace(" ", "")):
+                    return self.take("account", at, at + len(words))
+                words = words.rpartition(" ")[0]
+
     def secret(self, at: int, size: int) -> None:
         if at >= self.end["secret"] and (m := _SECRET.match(self.text, at + size)):
             self.take("secret", m.start(1), m.end(1))
@@ -167,7 +174,7 @@ def find_personal_data(docs: DataFrame, *, text_col: str = "text", spans_col: st
     """docs with a column of spans, an array of (kind, start, end) sorted by kind and start, and the redacted text where a
     column for it is named.
 
-    Kinds: email, ip, card, phone, url (an address that carries credentials), account (IBAN, numbers after an account cue),
+    Kinds: email, ip, card, phone, url (an address that carries credentials), account (IBAN wherever it stands, numbers after an account cue),
     secret (keys, tokens, passwords). Offsets count code points, the end is excluded. Null texts count as empty: no spans, and
     the redacted text is null. Whole texts are read; all rows and other columns stay; a column with one of the new names is
     replaced.

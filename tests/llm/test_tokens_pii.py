@@ -87,3 +87,10 @@ def test_personal_data_table(spark):
     kept = pii.find_personal_data(docs, redacted_col="text").orderBy("doc_id").collect()
     assert kept[0]["text"] is None and kept[1]["text"] == "é [EMAIL] [PHONE]"
     assert pii.span_digest(docs.limit(0)).count() == 0
+
+
+def test_an_account_number_needs_no_cue_nearby():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"account holder: Jane Q. Public, Example Bank Ltd, {iban}", f"please pay to {iban} soon", iban.replace(" ", "")):
+        assert [text[a:b].replace(" ", "") for k, a, b in pii.find_spans(text) if k == "account"] == [iban.replace(" ", "")]
+    assert not [s for s in pii.find_spans("part DE88 3704 0044 0532 0130 00 XDE89370400440532013000") if s[0] == "account"]
