@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may stand in a head; any other ends it, as text does.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-UNSEEN = frozenset("head script style template noscript title meta link svg math canvas object iframe audio video select datalist noembed noframes textarea".split())
+UNSEEN = frozenset("head script style template noscript title meta link canvas object iframe audio video select datalist noembed noframes".split())
+#: What pictures and formulas hold besides what is drawn.
+FOREIGN, FOREIGN_UNSEEN = frozenset(["svg", "math"]), frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = PARAGRAPH | frozenset(
     "address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr td th thead tbody tfoot caption".split()
@@ -35,33 +39,64 @@ CLOSES = {
 WALLS = frozenset(["table", "td", "th", "caption", "html", "template"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-_ATTRS = re.compile(r"((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-_START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
+_WS = r"[ \t\n\r\f]"
+#: A name and its value: a quote counts only where a value begins, and one that isn't closed there matches nothing.
+_ATTR = rf"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_WS}*+={_WS}*+(?:\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\r\f>\"'][^ \t\n\r\f>]*+)|(?=>))|(?!{_WS}*+=))"
+_ATTRS = re.compile(r"((?:[ \t\n\r\f/]++|" + re.sub(r"(?<!\\)\((?!\?)", "(?:", _ATTR) + r")*+)>")
+_ATTR = re.compile(_ATTR)
+_UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_START = re.compile(r"\s*([-+]?\d{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Elements that may be open at once; deeper ones are read as if they were not nested.
 DEPTH = 200
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "unseen")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: str = "", unseen: bool = False):
+        self.tag, self.attrs, self.children, self.unseen = tag, attrs, [], unseen
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of the inside of a tag; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw + ">"):  # the end of the tag, for a value that is missing
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _hidden(raw: str) -> bool:
+    low = raw.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    named = attributes(raw)
+    return "hidden" in named or _UNSEEN_STYLE.search(named.get("style", "")) is not None
+
+
+def _self_closing(raw: str) -> bool:
+    """Whether a slash ends the tag that isn't a part of a value."""
+    last = 0
+    for m in _ATTR.finditer(raw + ">"):
+        last = m.end()
+    return raw.endswith("/") and last < len(raw)
 
 
 def build(html: str) -> Node:
     """The tree of visible elements and texts; text nodes are strings."""
     root = Node("#root")
-    stack, at, unseen = [root], 0, 0  # unseen: open elements that hide their content
-
-    def hides(node: Node) -> bool:
-        return node.tag in UNSEEN or bool(node.attrs) and _HIDDEN.search(node.attrs) is not None
+    stack, at, unseen, foreign = [root], 0, 0, 0  # open elements that hide their content; that are pictures or formulas
 
     def close(to: int) -> None:
-        nonlocal unseen
+        nonlocal unseen, foreign
         while len(stack) > to:
-            unseen -= hides(stack.pop())
+            node = stack.pop()
+            unseen -= node.unseen
+            foreign -= node.tag in FOREIGN
+
+    def end_head() -> None:
+        while stack[-1].tag == "head":
+            close(len(stack) - 1)
 
     def implied(tags: set, bounds: set) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -76,6 +111,8 @@ def build(html: str) -> Node:
                 return
 
     def say(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            end_head()
         if text and not unseen:
             stack[-1].children.append(unescape(text))
 
@@ -100,6 +137,8 @@ def build(html: str) -> Node:
                 if stack[i].tag in WALLS and tag not in ("table", "tr", "thead", "tbody", "tfoot", "html", "body"):
                     break
             continue
+        if tag not in HEAD:
+            end_head()
         if tag in CLOSES:
             implied(*CLOSES[tag])
         if tag in BLOCK:
@@ -108,15 +147,21 @@ def build(html: str) -> Node:
             row = Node("tr")
             stack[-1].children.append(row)
             stack.append(row)
-        node = Node(tag, attrs)
-        if not unseen and not hides(node):
+        node = Node(tag, attrs, tag in UNSEEN or foreign > 0 and tag in FOREIGN_UNSEEN or bool(attrs) and _hidden(attrs))
+        if not unseen and not node.unseen:
             stack[-1].children.append(node)
+        if foreign and tag not in RAW and attrs.endswith("/") and _self_closing(attrs):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
-            at = stop.end() if stop else len(html)  # none of the raw elements shows its content
+            if tag in ("textarea", "xmp"):  # the only raw elements that show their content
+                text = html[at : stop.start() if stop else len(html)]
+                node.children.append(unescape(text) if tag == "textarea" else text)
+            at = stop.end() if stop else len(html)
         elif tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
-            unseen += hides(node)
+            unseen += node.unseen
+            foreign += tag in FOREIGN
     say(html[at:])
     return root
 
@@ -173,7 +218,7 @@ def render(node: Node) -> list[str]:
     out = _Lines()
 
     def items(n: Node) -> None:
-        m = _START.search(n.attrs)
+        m = _START.match(attributes(n.attrs).get("start", ""))
         number = int(m[1]) if m else 1
         for c in n.children:
             if isinstance(c, str) or c.tag != "li":
@@ -192,9 +237,14 @@ def render(node: Node) -> list[str]:
             out.now = out.now.rstrip(" ") + "\n"
         elif tag == "wbr" or tag in VOID and tag != "hr":
             return
-        elif tag == "pre":
+        elif tag in ("pre", "xmp", "textarea"):
             plain = "".join(_flat(c)).strip("\n").split("\n")
-            out.add(plain if any(plain) else [], 1)
+            out.add(plain if any(plain) else [], 0 if tag == "textarea" else 1)
+        elif tag == "text":  # of a picture: each stands at a place of its own
+            out.words(" ")
+            for k in c.children:
+                walk(k)
+            out.words(" ")
         elif tag in ("ul", "ol", "menu"):
             out.end(1)
             items(c)
@@ -230,7 +280,7 @@ def html_to_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, text (what a reader would see), n_chars, n_lines.
 
-    Scripts, styles, heads, comments and hidden elements are left out; entities are decoded; unclosed and misplaced tags are
+    Scripts, styles, heads, comments and hidden elements are left out (by the attribute hidden or the style of the element itself); entities are decoded; unclosed and misplaced tags are
     read as browsers imply them, to a nesting of 200; a tag that never ends hides what follows. Blocks stand on lines of their own with an empty line around paragraphs,
     headings, lists and tables; list items have markers; table cells line up. Null and empty pages give the empty text; text
     without tags is kept as one block. Whole pages are read; repeated rows each give a row; other columns are ignored.

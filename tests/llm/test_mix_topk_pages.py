@@ -113,3 +113,23 @@ def test_every_template_needs_a_cue():
     for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
         runs = licenses.template_runs(t)
         assert sum(cue.search(r) is not None for r in runs) > len(runs) * (1 - licenses.OVERLAP), t
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<a title="the hidden cost">a</a> <b class="x hidden y">b</b> <i aria-hidden=true>c</i>', "a b c"),
+        ("<b hidden>no</b><b HIDDEN=''>no</b><b style='color:red; Display : none'>no</b>x<b data-style='display:none'>y</b>", "xy"),
+        ("a <a href=/o'brien>b</a> c <i title=\"it's > this\">d</i> e", "a b c d e"),
+        ("a<b title='never ends>c", "a"),
+        ("<html><head><title>no</title><meta charset=x><p>one<p>two", "one\n\ntwo"),
+        ("<head><script>no</script>\n text", "text"),
+        ("<head><title>no</title></head><body>a", "a"),
+        ("x <svg><title>no</title><defs/><path d='M0'/><text>one</text><text>two</text></svg> <math><mi>y</mi><annotation>no</annotation></math>", "x one two y"),
+        ("<textarea>a &amp; b</textarea><xmp><b>&amp;</xmp>", "a & b\n\n<b>&amp;"),
+        ("<ol data-start=7 start=3><li>x</ol>", "3. x"),
+    ],
+)
+def test_visible_text_stays(html, want):
+    got = render.html_to_text(html)
+    assert re.sub("\n+", "\n", got) == re.sub("\n+", "\n", want)
