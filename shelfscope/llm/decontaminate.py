@@ -59,7 +59,8 @@ class ItemIndex:
         counted = [(i, Counter(w), w, t) for i, t in items if (w := words_of(t))]
         self.ids = [c[0] for c in counted]
         self.parts = [question_and_answer(c[3]) for c in counted]
-        self.stride = max((len(c[2]) for c in counted), default=1)
+        self.words = [len(c[2]) for c in counted]
+        self.stride = 2 * max(self.words, default=1)  # twice the longest item: each window of an item lies in one passage
         self.term = {w: n for n, w in enumerate(sorted({w for c in counted for w in c[1]}))}
         idf = {w: np.log(1 + (total - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in self.term}
         rows = []
@@ -73,6 +74,10 @@ class ItemIndex:
         self.impact = np.array([r[2] for r in rows])
         self.start = np.searchsorted(term, np.arange(len(self.term) + 1))
         self.most = np.maximum.reduceat(self.impact, self.start[:-1]) if rows else np.empty(0)
+        # the terms of each item
+        by_item = np.argsort(self.item, kind="stable")
+        self.item_term, self.item_impact = term[by_item], self.impact[by_item]
+        self.item_start = np.searchsorted(self.item[by_item], np.arange(len(counted) + 1))
         # the same for blocks of items
         first = np.r_[True, (term[1:] != term[:-1]) | (self.item[1:] // ITEM_BLOCK != self.item[:-1] // ITEM_BLOCK)] if rows else np.empty(0, bool)
         at = np.flatnonzero(first)
@@ -135,17 +140,33 @@ class ItemIndex:
                 d = int(np.searchsorted(base, c, side="right") - 1)
                 yield d, (c - int(base[d])) * self.stride, s % len(self.ids), x
 
+    def windows(self, terms: np.ndarray, at: int, item: int, least: float) -> Iterator[tuple[int, float]]:
+        """(first word, score) of the windows that start in a passage's first half and reach `least`: of twice the item's words, each
+        time that many words on from the start of the text, whatever other items there are."""
+        n, near = self.words[item], slice(self.item_start[item], self.item_start[item + 1])
+        own, impact = self.item_term[near], self.item_impact[near]
+        part = terms[at : at + 2 * self.stride]
+        place = np.minimum(np.searchsorted(own, part), len(own) - 1)
+        good = own[place] == part
+        where, place = np.flatnonzero(good) + at, place[good]
+        for first in range(-(-at // n) * n, min(at + self.stride, len(terms)), n):
+            a, b = np.searchsorted(where, [first, first + 2 * n])
+            score = float(impact[np.unique(place[a:b])].sum()) if b > a else 0.0
+            if score >= least - 1e-9:
+                yield first, score
+
     def hits(self, texts: list[str], least: float, question: float, answer: float) -> Iterator[tuple[int, object, float, float, float]]:
-        """(text, item id, score, overlap of the question, overlap of the answer): the best passage for each text and item."""
+        """(text, item id, score, overlap of the question, overlap of the answer): the best window for each text and item."""
         words = [words_of(t) for t in texts]
         get = self.term.get
         terms = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in words]
         best: dict[tuple[int, int], tuple] = {}
-        for d, at, item, score in self.search(terms, least):
-            passage = words[d][at : at + 2 * self.stride]
-            q, a = (overlap(p, passage) for p in self.parts[item])
-            if q >= question and a >= answer:
-                best[d, item] = max(best.get((d, item), (0.0,)), (q + a, score, q, a))
+        for d, at, item, _ in self.search(terms, least):
+            for first, score in self.windows(terms[d], at, item, least):
+                window = words[d][first : first + 2 * self.words[item]]
+                q, a = (overlap(p, window) for p in self.parts[item])
+                if q >= question and a >= answer:
+                    best[d, item] = max(best.get((d, item), (0.0,)), (q + a, score, q, a))
         for (d, item), (_, score, q, a) in best.items():
             yield d, self.ids[item], score, q, a
 
@@ -156,8 +177,8 @@ def benchmark_hits(
 ) -> DataFrame:
     """One row for each row of docs and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Passages of twice the longest item's words, starting each time that many words on, are scored over the whole text, so an item
-    lies wholly in one of them. A hit has a normalised BM25 score of `least` or more, and `question` and `answer` of the word pairs of both parts
+    Windows of twice the item's words, starting each time that many words on, are scored over the whole text, so an item lies wholly
+    in one of them, and a hit depends on no other item's length. A hit has a normalised BM25 score of `least` or more, and `question` and `answer` of the word pairs of both parts
     (the answer is the last sentence). Texts without hits, null and empty texts have no rows; items that are null or without
     words are never found; items with one text are all found; repeated rows of docs repeat their hits. Document frequencies and
     lengths are those of all items. Items are indexed in lots of about index_bytes, whatever their number, and each lot meets

@@ -248,3 +248,20 @@ def test_copies_of_a_text_do_not_multiply_marks(spark, monkeypatch):
     assert got == Counter(_kept([text] * 60 + [other], 200))
     one = sum(len(t) for t, *_ in suffixes.sparse_suffixes([text.encode()], 200))
     assert rows["repeats"] == rows["marks"] == one
+
+
+def test_hits_do_not_depend_on_the_length_of_other_items():
+    short, long_ = prose(30) + ". " + prose(12), prose(3000)
+    w = short.replace(".", "").split()
+    filler = ["zz%d" % i for i in range(4000)]
+    scattered = " ".join(x for k in range(len(w) - 1) for x in (*w[k : k + 2], *filler[90 * k : 90 * k + 90]))
+    held = " ".join(filler[:777]) + " " + short + " " + " ".join(filler[777:])
+    texts = [scattered, held, short, " ".join(w[:-1])]
+    rule = (decontaminate.SCORE, decontaminate.QUESTION, decontaminate.ANSWER)
+    frequency = dict.fromkeys(decontaminate.words_of(short + " " + long_), 1)
+    found = []
+    for items in ([(1, short)], [(1, short), (2, long_)]):
+        index = decontaminate.ItemIndex(items, frequency, 2, 100.0)
+        found.append(sorted(h for h in index.hits(texts, *rule) if h[1] == 1))
+    assert [h[0] for h in found[0]] == [1, 2, 3]
+    assert [h[:2] for h in found[0]] == [h[:2] for h in found[1]] and np.allclose([h[2:] for h in found[0]], [h[2:] for h in found[1]])
