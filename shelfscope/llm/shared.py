@@ -5,10 +5,11 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import materialize, shared_folder  # noqa: F401
+from ..sources.work import delete_folder, drop_table, materialize, shared_folder  # noqa: F401
 
 #: Characters of text that a task works on at once; it bounds what a Python worker holds.
 SLICE_CHARS = 2_000_000
@@ -18,14 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.split("/batch=")[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let_go(spark: SparkSession) -> None:
     """Shuffle files go when the driver collects its garbage; ask for it where a step leaves many behind."""
     gc.collect()
@@ -49,3 +42,12 @@ def slices(texts: Iterable[str | None], most: int = SLICE_CHARS) -> Iterator[lis
         size += len(t)
     if part:
         yield part
+
+
+def pieces(batches: Iterable[pd.Series], most: int = SLICE_CHARS) -> Iterator[pd.Series]:
+    """The same rows in order, in series of some 2 million characters, so that no more than that waits with its results."""
+    for texts in batches:
+        at = 0
+        for part in slices(texts, most):
+            yield texts.iloc[at : at + len(part)]
+            at += len(part)

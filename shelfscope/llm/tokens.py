@@ -21,8 +21,8 @@ from .shared import slices
 
 #: Fixed value: the splitting pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose counts a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Characters of pre-tokens whose counts a worker remembers; the memory is emptied when it is full.
+REMEMBERED = 4_000_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -34,14 +34,13 @@ def _byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Merge ranks of a byte-level BPE file as sorted arrays."""
+    """Merge ranks of a byte-level BPE file, given by its content, as sorted arrays."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: str):
+        spec = json.loads(content)
         model, ids = spec["model"], spec["model"]["vocab"]
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
-            raise ValueError(f"{path} is not a byte-level BPE file without normalizer")
+            raise ValueError("not a byte-level BPE file without normalizer")
         self.of_byte = np.array([ids[c] for c in _byte_symbols()], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.width = max(ids.values()) + 1
@@ -53,6 +52,7 @@ class Vocabulary:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
+        self.held = 0  # characters of the known pre-tokens
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -98,9 +98,11 @@ class Vocabulary:
             else:
                 cut.append(self.split.findall(t))
             extra.append(n)
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         new = list(set().union(*cut).difference(self.known))
+        self.held += sum(map(len, new))
         at = 0
         while at < len(new):  # a bounded number of bytes at once
             size, end = 0, at
@@ -114,22 +116,25 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """Read once in each Python worker."""
-    return Vocabulary(path)
+def vocabulary(content: str) -> Vocabulary:
+    """Built once in each Python worker."""
+    return Vocabulary(content)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    tokenizer is the path of a byte-level BPE file for the tokenizers library, the same on every executor; counts are those of
-    that library without begin, end or added special tokens. Null texts count as empty (0 tokens). Whole texts are counted,
-    however long; repeated rows each give a row; an empty table gives an empty table; other columns are ignored.
+    tokenizer is the path of a byte-level BPE file for the tokenizers library; the driver reads it and sends its content (a few MB,
+    the size of a vocabulary) to the executors. Counts are those of that library without begin, end or added special tokens. Null
+    texts count as empty (0 tokens). Whole texts are counted, however long; repeated rows each give a row; an empty table gives an
+    empty table; other columns are ignored.
     """
+    with open(tokenizer, encoding="utf-8") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab = vocabulary(tokenizer)
+        vocab = vocabulary(content.value)
         for texts in batches:
             yield pd.Series([n for part in slices(texts) for n in vocab.count(part)], dtype="int64")
 

@@ -17,7 +17,7 @@ def library():
 
 
 def test_counts_equal_the_library(library):
-    vocab = tokens.Vocabulary(P.path(TOKENIZER))
+    vocab = tokens.Vocabulary(open(P.path(TOKENIZER), encoding="utf-8").read())
     r = random.Random(1)
     letters = "aab  \n\t'sS.t01é中\U0001f600\x1c\x85​"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)]
