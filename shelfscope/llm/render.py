@@ -8,6 +8,7 @@ indentation, and the cells of a table line up in columns.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pieces
+
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may stand in a head; any other ends it, as text does.
@@ -45,10 +48,12 @@ _ATTR = rf"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_WS}*+={_WS}*+(?:\"([^\"]*+)\"|'
 _ATTRS = re.compile(r"((?:[ \t\n\r\f/]++|" + re.sub(r"(?<!\\)\((?!\?)", "(?:", _ATTR) + r")*+)>")
 _ATTR = re.compile(_ATTR)
 _UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_START = re.compile(r"\s*([-+]?\d{1,9})")
+_WHOLE = re.compile(r"\s*([-+]?\d{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Elements that may be open at once; deeper ones are read as if they were not nested.
+#: Levels of the tree; what is nested deeper stands beside its ancestor at this level, visible or not as it is.
 DEPTH = 200
+# Limits of HTML for the columns and rows of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
@@ -86,19 +91,32 @@ def build(html: str) -> Node:
     """The tree of visible elements and texts; text nodes are strings."""
     root = Node("#root")
     stack, at, unseen, foreign = [root], 0, 0, 0  # open elements that hide their content; that are pictures or formulas
+    opened: Counter[str] = Counter()  # open elements by tag: a search for one that isn't open is spared
 
     def close(to: int) -> None:
         nonlocal unseen, foreign
         while len(stack) > to:
             node = stack.pop()
+            opened[node.tag] -= 1
             unseen -= node.unseen
             foreign -= node.tag in FOREIGN
 
+    def push(node: Node) -> None:
+        nonlocal unseen, foreign
+        if len(stack) >= DEPTH:
+            node.children = stack[DEPTH - 1].children
+        stack.append(node)
+        opened[node.tag] += 1
+        unseen += node.unseen
+        foreign += node.tag in FOREIGN
+
     def end_head() -> None:
         while stack[-1].tag == "head":
             close(len(stack) - 1)
 
     def implied(tags: set, bounds: set) -> None:
+        if not any(opened[t] > 0 for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in bounds:
                 return
@@ -127,8 +145,9 @@ def build(html: str) -> Node:
             break
         at, attrs, tag = rest.end(), rest[1], tag.lower()
         if end:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+            if opened[tag] <= 0:
+                if tag == "p" and not unseen:
+                    stack[-1].children.append(Node("p"))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -146,10 +165,11 @@ def build(html: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attrs, tag in UNSEEN or foreign > 0 and tag in FOREIGN_UNSEEN or bool(attrs) and _hidden(attrs))
         if not unseen and not node.unseen:
-            stack[-1].children.append(node)
+            # below the last level an element without its content marks where a block begins
+            stack[-1].children.append(node if len(stack) < DEPTH or tag in RAW or tag in VOID else Node(tag))
         if foreign and tag not in RAW and attrs.endswith("/") and _self_closing(attrs):
             continue
         if tag in RAW:
@@ -158,10 +178,8 @@ def build(html: str) -> Node:
                 text = html[at : stop.start() if stop else len(html)]
                 node.children.append(unescape(text) if tag == "textarea" else text)
             at = stop.end() if stop else len(html)
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
-            unseen += node.unseen
-            foreign += tag in FOREIGN
+        elif tag not in VOID:
+            push(node)
     say(html[at:])
     return root
 
@@ -190,8 +208,55 @@ class _Lines:
             self.gap = gap
 
 
+def _whole(node: Node, name: str) -> int | None:
+    """An attribute as a whole number, as HTML reads it: what follows the digits doesn't count."""
+    m = _WHOLE.match(attributes(node.attrs).get(name, "")) if node.attrs else None
+    return int(m[1]) if m else None
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    """The columns or rows that a cell takes."""
+    return min(max(_whole(node, name) or 1, 1), most)
+
+
+def _width(sizes: list[int]) -> int:
+    """The width of a column: that of its widest cell, or of the widest at which padding takes no more than eight times the text."""
+    sizes = sorted(sizes)
+    total = 8 * sum(sizes) + 4096
+    shorter = 0
+    best = 0
+    for i, n in enumerate(sizes):  # n * i is what i cells fill at this width, shorter what they hold
+        if n * i - shorter > total:
+            break
+        best, shorter = n, shorter + n
+    return best
+
+
 def _table(node: Node) -> list[str]:
-    rows, above = [], []
+    rows, above = [], []  # a row has (column, columns taken, text) for each cell
+    below: dict[int, int] = {}  # columns that a cell of an earlier row still takes, and for how many rows
+
+    def place(row: Node) -> None:
+        cells, at, taken = [], 0, {}
+        for k in row.children:
+            if isinstance(k, str):
+                if not (text := _SPACE.sub(" ", k).strip()):
+                    continue
+                wide, deep = 1, 1
+            else:
+                text = " ".join(x for x in render(k) if x)
+                wide, deep = _span(k, "colspan", MOST_COLUMNS), _span(k, "rowspan", MOST_ROWS)
+            while at in below:
+                at += 1
+            cells.append((at, wide, text))
+            taken |= dict.fromkeys(range(at, at + wide), deep - 1) if deep > 1 else {}
+            at += wide
+        for c in list(below):
+            below[c] -= 1
+            if not below[c]:
+                del below[c]
+        below.update(taken)
+        rows.append(cells)
 
     def walk(n: Node) -> None:
         for c in n.children:
@@ -199,18 +264,32 @@ def _table(node: Node) -> list[str]:
                 if c.strip():
                     above.append(_SPACE.sub(" ", c).strip())
             elif c.tag == "tr":
-                cells = [" ".join(x for x in render(k) if x) for k in c.children if not isinstance(k, str)]
-                loose = [k.strip() for k in c.children if isinstance(k, str) and k.strip()]
-                rows.append(cells + loose)
+                place(c)
             elif c.tag in ("thead", "tbody", "tfoot", "form"):
                 walk(c)
             else:
                 above.extend(render(c))
 
     walk(node)
-    columns = max(map(len, rows), default=0)
-    wide = [min(60, max((len(r[i]) for r in rows if i < len(r)), default=0)) for i in range(columns)]
-    return above + [line for r in rows if (line := " | ".join(c.ljust(w) for c, w in zip(r, wide, strict=False)).rstrip())]
+    sizes: dict[int, list[int]] = {}
+    for cells in rows:
+        for c, many, text in cells:
+            if many == 1:
+                sizes.setdefault(c, []).append(len(text))
+    wide = {c: _width(s) for c, s in sizes.items()}
+    return above + [line for cells in rows if (line := _row(cells, wide))]
+
+
+def _row(cells: list[tuple[int, int, str]], wide: dict[int, int]) -> str:
+    """A line in which each cell begins where its column begins; columns without cells of their own are left out."""
+    out, at = [], 0
+    columns = sorted(wide)
+    for c, many, text in cells:
+        out += [" " * wide[x] for x in columns if at <= x < c]
+        own = [wide[x] for x in columns if c <= x < c + many]
+        out.append(text.ljust(sum(own) + 3 * (len(own) - 1) if own else 0))
+        at = c + many
+    return " | ".join(out).rstrip(" ") if any(text for _, _, text in cells) else ""
 
 
 def render(node: Node) -> list[str]:
@@ -218,12 +297,14 @@ def render(node: Node) -> list[str]:
     out = _Lines()
 
     def items(n: Node) -> None:
-        m = _START.match(attributes(n.attrs).get("start", ""))
-        number = int(m[1]) if m else 1
+        start = _whole(n, "start")
+        number = 1 if start is None else start
         for c in n.children:
             if isinstance(c, str) or c.tag != "li":
                 walk(c)
                 continue
+            if n.tag == "ol" and (own := _whole(c, "value")) is not None:
+                number = own
             mark = f"{number}. " if n.tag == "ol" else "- "
             number += 1
             lines = [x for x in render(c) if x]
@@ -238,7 +319,7 @@ def render(node: Node) -> list[str]:
         elif tag == "wbr" or tag in VOID and tag != "hr":
             return
         elif tag in ("pre", "xmp", "textarea"):
-            plain = "".join(_flat(c)).strip("\n").split("\n")
+            plain = "".join(_flat(c, [])).strip("\n").split("\n")
             out.add(plain if any(plain) else [], 0 if tag == "textarea" else 1)
         elif tag == "text":  # of a picture: each stands at a place of its own
             out.words(" ")
@@ -268,9 +349,25 @@ def render(node: Node) -> list[str]:
     return out.lines
 
 
-def _flat(node: Node) -> Iterator[str]:
+def _flat(node: Node, out: list[str]) -> list[str]:
+    """Texts as they stand; blocks inside begin and end a line."""
+
+    def new_line() -> None:
+        if out and not out[-1].endswith("\n"):
+            out.append("\n")
+
     for c in node.children:
-        yield from [c] if isinstance(c, str) else ["\n"] if c.tag == "br" else _flat(c)
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append("\n")
+        elif c.tag in BLOCK:
+            new_line()
+            _flat(c, out)
+            new_line()
+        else:
+            _flat(c, out)
+    return out
 
 
 def html_to_text(html: str | None) -> str:
@@ -280,15 +377,17 @@ def html_to_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, text (what a reader would see), n_chars, n_lines.
 
-    Scripts, styles, heads, comments and hidden elements are left out (by the attribute hidden or the style of the element itself); entities are decoded; unclosed and misplaced tags are
-    read as browsers imply them, to a nesting of 200; a tag that never ends hides what follows. Blocks stand on lines of their own with an empty line around paragraphs,
-    headings, lists and tables; list items have markers; table cells line up. Null and empty pages give the empty text; text
-    without tags is kept as one block. Whole pages are read; repeated rows each give a row; other columns are ignored.
+    Scripts, styles, heads, comments and hidden elements are left out (by the attribute hidden or the style of the element itself);
+    entities are decoded; unclosed and misplaced tags are read as browsers imply them; a tag that never ends hides what follows.
+    Blocks stand on lines of their own with an empty line around paragraphs, headings, lists and tables; list items have markers
+    or numbers; the cells of a table line up in the columns that their spans give them. A column is as wide as its widest cell,
+    unless padding came to more than eight times its text. Null and empty pages give the empty text; text without tags is kept as
+    one block. Whole pages are read; repeated rows each give a row; other columns are ignored.
     """
 
     @F.pandas_udf("string")
     def rendered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages_ in batches:
+        for pages_ in pieces(batches):
             yield pages_.map(html_to_text).astype(object)
 
     out = pages.select(F.col(id_col).alias("page_id"), rendered(F.col(html_col)).alias("text"))
