@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pieces
+
 #: Order of kinds in a list of spans; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
@@ -183,7 +185,7 @@ def find_personal_data(docs: DataFrame, *, text_col: str = "text", spans_col: st
 
     @F.pandas_udf(schema)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in pieces(batches):
             found = [find_spans(t) if t else [] for t in texts]
             cut = [redact(t, s) if s and redacted_col else None for t, s in zip(texts, found, strict=True)]
             yield pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], "redacted": cut})
@@ -196,7 +198,12 @@ def find_personal_data(docs: DataFrame, *, text_col: str = "text", spans_col: st
 
 
 def span_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, the number of spans of each base kind, a hash of the base spans and all spans as text."""
+    """One row for each row of docs: doc_id, the number of spans of each base kind, a hash of the base spans, all spans as text and
+    their number (n_spans).
+
+    Null and empty texts have no spans: counts of 0, the hash of the empty text, and the empty text. Null ids are kept, repeated
+    rows each give a row, an empty table gives an empty result, other columns are ignored.
+    """
     found = find_personal_data(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), text_col="text")
     spans = F.col("pii_spans")
     counted = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
@@ -206,4 +213,5 @@ def span_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         *(counted(k).alias(f"n_{k}") for k in BASE),
         F.sha2(joined(F.filter(spans, lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )
