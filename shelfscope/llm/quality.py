@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import slices
@@ -20,10 +20,10 @@ from .shared import slices
 CHUNK, OVERLAP, WIDTH, STEP = 512, 64, 8, 2
 FILTERS, EMBED, HIDDEN = 32, 8, 16
 PAD = 256
-#: Labelled rows of each class that training sees at most, and chunks of each of them, evenly spread.
-SAMPLE_PER_CLASS, SAMPLE_CHUNKS = 1500, 12
-#: Chunks that are convolved at once when texts are scored.
-_BATCH = 512
+#: Labelled rows of each class that training sees at most, and bytes of all their texts together.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 24_000_000
+#: Chunks that are convolved at once, when texts are scored and in training.
+_BATCH, _STEP_CHUNKS = 512, 32
 
 
 def chunks_of(text: str) -> np.ndarray:
@@ -66,6 +66,11 @@ class ByteNet:
         at = a.argmax(axis=1)
         return np.maximum(np.take_along_axis(a, at[:, None], 1)[:, 0] + self.p["bias"], 0), at
 
+    def pooled_in_steps(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As pooled, a bounded number of chunks at once."""
+        found = [self.pooled(chunks[i : i + _STEP_CHUNKS]) for i in range(0, len(chunks), _STEP_CHUNKS)]
+        return np.concatenate([h for h, _ in found]), np.concatenate([at for _, at in found])
+
     def pooled_fast(self, chunks: np.ndarray) -> np.ndarray:
         """As pooled, from tables of what each pair of bytes adds to each filter."""
         if self._tables is None:
@@ -109,7 +114,7 @@ class ByteNet:
     def gradients(self, chunks: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of one batch of documents; through a maximum they flow to the position that won."""
         p, n = self.p, len(labels)
-        h, at = self.pooled(chunks)
+        h, at = self.pooled_in_steps(chunks)
         logit, (v, u, counts, most) = self.combine(h, doc, n)
         prob = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         loss = -np.mean(labels * np.log(prob + 1e-7) + (1 - labels) * np.log(1 - prob + 1e-7))
@@ -128,8 +133,8 @@ class ByteNet:
         dembed[PAD] = 0
         return float(loss), {"embed": dembed, "conv": dconv, "bias": dh.sum(0), "mix": v.T @ du, "mix_bias": du.sum(0), "out": u.T @ dl, "out_bias": dl.sum(keepdims=True)}
 
-    def fit(self, cut: list[np.ndarray], labels: np.ndarray, *, epochs: int = 14, batch: int = 32, rate: float = 4e-3, seed: int = 11) -> ByteNet:
-        """Adam over a sample of documents, each given by chunks of it."""
+    def fit(self, cut: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, batch: int = 32, rate: float = 4e-3, seed: int = 11) -> ByteNet:
+        """Adam over a sample of documents, each given by all its chunks."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         s = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -150,39 +155,31 @@ class ByteNet:
         return self
 
 
-def some_chunks(text: str) -> np.ndarray:
-    """At most SAMPLE_CHUNKS chunks of a text, evenly spread, the first and the last among them."""
-    c = chunks_of(text)
-    return c[np.unique(np.linspace(0, len(c) - 1, min(len(c), SAMPLE_CHUNKS)).astype(int))]
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that training must not see: crc32 of the id as text (null: the empty text) is divisible by 5."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> ByteNet:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> ByteNet:
     """A network fitted on the labelled rows that are not held out.
 
-    Of each class the per_class ids with the smallest hash are used (fewer, if docs lacks some of them), and of each text at most
-    SAMPLE_CHUNKS chunks of CHUNK bytes: the driver holds 2 * per_class * SAMPLE_CHUNKS * CHUNK bytes at most, whatever the size of
-    the tables. Labels other than 0 and 1, null ids and repeated ids beyond the first are left out. Without any labelled row the
-    network stays untrained.
+    Of each class the per_class ids with the smallest hash are used (fewer, if docs lacks some of them), with their whole texts, in
+    the order of the hash as far as their texts together hold at most most_bytes bytes; that is what the driver holds, whatever the
+    size of the tables. Labels other than 0 and 1, null ids and repeated ids beyond the first are left out; null texts are empty.
+    Without any labelled row the network stays untrained.
     """
+    order = F.xxhash64("__id")
     known = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    drawn = [known.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
+    drawn = [known.where(F.col("__label") == c).orderBy(order, "__id").limit(per_class) for c in (0, 1)]
     sample = drawn[0].unionByName(drawn[1]).groupBy("__id").agg(F.min("__label").alias("__label"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     rows = rows.groupBy("__id", "__label").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["__id"], "label": b["__label"], "chunks": [some_chunks(t).tobytes() for t in b["__text"]]})
-
-    got = rows.mapInPandas(cut, "id long, label int, chunks binary").toPandas().sort_values("id")
+    # 2 * per_class rows at most
+    so_far = F.sum(F.octet_length("__text")).over(Window.orderBy(order, "__id"))
+    got = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("__id", "__label", "__text").toPandas().sort_values("__id")
     net = ByteNet()
     if len(got):
-        net.fit([np.frombuffer(c, dtype=np.int16).reshape(-1, CHUNK) for c in got["chunks"]], got["label"].to_numpy())
+        net.fit([chunks_of(t) for t in got["__text"]], got["__label"].to_numpy())
     return net
 
 
@@ -202,7 +199,11 @@ def score_quality(docs: DataFrame, net: ByteNet, *, text_col: str = "text", scor
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score, predicted (1 if score >= threshold, else 0)."""
+    """One row for each row of docs: doc_id, held_out, score, predicted (1 if score >= threshold, else 0).
+
+    Null and empty texts have a score like any other; null ids count as the empty text when rows are held out; repeated rows each
+    give a row; an empty table gives an empty result; other columns are ignored.
+    """
     net = train(docs, labels, id_col=id_col, text_col=text_col)
     scored = score_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
