@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import materialize, slices, text_key
+from .shared import drop_table, materialize, slices, text_key
 
 WORDS = 5
 #: Components of a signature, and its bands: at a similarity of 0.8 a pair shares no band with a probability of 5e-8.
@@ -233,7 +233,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
     shared = banded.select("band", short.alias("s")).groupBy("band").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
     members = materialize(banded.join(shared, "band").groupBy("band", "key").agg(F.max("n").alias("n")), "band-members")
     standing = members.groupBy("key").agg(F.sum("n").alias("standing"))
-    members = materialize(members.select("band", "key").join(standing, "key"), "standing")
+    members, counted = materialize(members.select("band", "key").join(standing, "key"), "standing"), members
+    drop_table(counted)
+    standing = members.select("key", "standing").distinct()
 
     needed = standing.select("key").join(nodes, "key").select("key", F.col("id").alias("rep"))
     fetched = plain.join(needed, "key").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("key").agg(F.first("text").alias("text"))
@@ -252,11 +254,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
     open_ = placed.groupBy("band").agg(F.count_if("loose").alias("loose_n"), F.count("*").alias("n")).where("loose_n > 0 AND n > 2").select("band")
     rest = placed.join(open_, "band").groupBy("key").agg(F.first("component").alias("component"), F.max("loose").alias("loose"))
     rest = materialize(rest, "loose")
-    more = _verified(_remaining_pairs(rest, texts, least), texts, least)
+    more = materialize(_verified(_remaining_pairs(rest, texts, least), texts, least), "remaining-links")
+    drop_table(texts)
     # what they connect is whole components, of which few are left
     of = rest.select("key", "component")
     more = more.join(of.toDF("a", "u"), "a").join(of.toDF("p", "v"), "p").select("u", "v").distinct()
     joined = materialize(connected_components(more), "joined-components").toDF("node", "joined")
+    drop_table(members)
+    drop_table(chosen)
 
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "id", "copies", F.coalesce("component", "key").alias("component"))
     named = named.join(joined, named["component"] == joined["node"], "left").select("key", "id", "copies", F.coalesce("joined", "component").alias("component"))
@@ -279,9 +284,9 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     judged = _judged(docs, id_col, text_col, least).where("first IS NOT NULL")
     first = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("key") == F.col("first.key"))
     rows = materialize(judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.max(first).alias("stays"), F.count("*").alias("n")), "judged")
-    keyed = docs.withColumn("__key", text_key(text_col))
     same = (F.col("__key") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    kept = keyed.join(rows.where("NOT stays"), same, "left_anti")
-    several = rows.where("stays AND n > 1")
-    repeated = kept.join(several, same, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(several, same, "left_anti").unionByName(repeated).drop("__key")
+    # one join decides about all rows; what it keeps is written, as rows that are repeated are read apart from it
+    kept = docs.withColumn("__key", text_key(text_col)).join(rows, same, "left").where(F.coalesce("stays", F.lit(True)))
+    kept = materialize(kept.withColumn("__several", F.coalesce(F.col("stays") & (F.col("n") > 1), F.lit(False))).select(*docs.columns, "__several"), "kept")
+    repeated = kept.where("__several").dropDuplicates([id_col, text_col])
+    return kept.where("NOT __several").unionByName(repeated).drop("__several")
