@@ -8,16 +8,18 @@ exact scores. All items above the threshold are retrieved, and a hit counts if b
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_CHARS
+from .shared import materialize, slices
 
 #: Parameters of BM25, items in a block, bytes of test items that one index may hold.
 K1, B, ITEM_BLOCK, INDEX_BYTES = 1.2, 0.75, 16, 16 << 20
@@ -171,6 +173,50 @@ class ItemIndex:
             yield d, self.ids[item], score, q, a
 
 
+@lru_cache(maxsize=1)
+def _index(lot: bytes) -> ItemIndex:
+    """The index of a lot; a worker holds one at a time."""
+    return pickle.loads(lot)
+
+
+class Benchmark:
+    """The test items as indexes of lots, each built in a task and sent to the executors as bytes."""
+
+    def __init__(self, items: DataFrame, item_id_col: str, item_text_col: str, index_bytes: int):
+        spark = items.sparkSession
+        tests = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+        size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        lots = max(1, -(-size // index_bytes))
+        self.item_type = items.schema[item_id_col].dataType.simpleString()
+        placed = tests.withColumn("lot", F.pmod(F.xxhash64("item", "text"), F.lit(lots)).cast("int"))
+
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                said = [(lot, words_of(t)) for lot, t in zip(b["lot"], b["text"], strict=True)]
+                rows = [(lot, w, len(ws)) for lot, ws in said for w in set(ws)] + [(lot, None, len(ws)) for lot, ws in said if ws]
+                yield pd.DataFrame(rows, columns=["lot", "word", "n"])
+
+        spoken = materialize(placed.mapInPandas(spread, "lot int, word string, n long"), "benchmark-words")
+        total, mean_words = spoken.where("word IS NULL").agg(F.count("*"), F.avg("n")).first()
+        frequency = spoken.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("df"))
+        own = spoken.where("word IS NOT NULL").select("lot", "word").distinct().join(frequency, "word")
+
+        def build(key: tuple, tests: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+            rows = sorted(zip(tests["item"].astype(object).where(tests["item"].notna(), None), tests["text"], strict=True), key=lambda r: (r[0] is None, r))
+            made = ItemIndex(rows, dict(zip(words["word"], words["df"].tolist(), strict=True)), total, mean_words or 1.0)
+            return pd.DataFrame({"made": [pickle.dumps(made)]})
+
+        # a lot is bounded by its bytes
+        made = placed.groupBy("lot").cogroup(own.groupBy("lot")).applyInPandas(build, "made binary")
+        made = materialize(made, "benchmark-indexes")
+        self.lots = [spark.sparkContext.broadcast(bytes(r["made"])) for r in made.toLocalIterator()]
+
+    def hits(self, texts: list[str], least: float, question: float, answer: float) -> Iterator[tuple]:
+        """As ItemIndex.hits, over all lots."""
+        for lot in self.lots:
+            yield from _index(lot.value).hits(texts, least, question, answer)
+
+
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
     least: float = SCORE, question: float = QUESTION, answer: float = ANSWER, index_bytes: int = INDEX_BYTES,
@@ -178,64 +224,46 @@ def benchmark_hits(
     """One row for each row of docs and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     Windows of twice the item's words, starting each time that many words on, are scored over the whole text, so an item lies wholly
-    in one of them, and a hit depends on no other item's length. A hit has a normalised BM25 score of `least` or more, and `question` and `answer` of the word pairs of both parts
-    (the answer is the last sentence). Texts without hits, null and empty texts have no rows; items that are null or without
-    words are never found; items with one text are all found; repeated rows of docs repeat their hits. Document frequencies and
-    lengths are those of all items. Items are indexed in lots of about index_bytes, whatever their number, and each lot meets
-    every passage of every text.
-    """
-    spark = docs.sparkSession
-    tests = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    lots = max(1, -(-size // index_bytes))
-    item_type = items.schema[item_id_col].dataType.simpleString()
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(lot, w, len(ws)) for lot, t in zip(b["lot"], b["text"], strict=True) for ws in [words_of(t)] for w in set(ws)]
-            rows += [(lot, None, len(ws)) for lot, t in zip(b["lot"], b["text"], strict=True) if (ws := words_of(t))]
-            yield pd.DataFrame(rows, columns=["lot", "word", "n"])
-
-    placed = tests.withColumn("lot", F.pmod(F.xxhash64("item", "text"), F.lit(lots)).cast("int"))
-    spoken = placed.mapInPandas(spread, "lot int, word string, n long")
-    total, mean_words = spoken.where("word IS NULL").agg(F.count("*"), F.avg("n")).first()
-    frequency = spoken.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("df"))
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for lot in range(lots):  # each lot is bounded by its bytes
-        own = [(r["item"], r["text"]) for r in placed.where(F.col("lot") == lot).toLocalIterator()]
-        own.sort(key=lambda r: (r[0] is None, r))
-        here = spoken.where((F.col("lot") == lot) & F.col("word").isNotNull()).select("word").distinct()
-        known = {r["word"]: r["df"] for r in frequency.join(here, "word").toLocalIterator()}
-        index = spark.sparkContext.broadcast(ItemIndex(own, known, total, mean_words or 1.0))
-
-        def found(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ids, texts, held = [], [], 0
-                rows = []
-
-                def flush(ids=ids, texts=texts, rows=rows) -> None:
-                    rows += [(ids[d], *hit) for d, *hit in index.value.hits(texts, least, question, answer)]
-                    ids.clear(), texts.clear()
-
-                for i, t in zip(b["id"], b["text"], strict=True):
-                    if t:
-                        ids.append(i), texts.append(t)
-                        held += len(t)
-                        if held > SLICE_CHARS:
-                            flush()
-                            held = 0
-                flush()
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        hits = plain.mapInPandas(found, f"doc_id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double")
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def without_benchmark(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """The rows of docs that hold no test item; rows with a null id are judged by their text alone like all others."""
-    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    hit = benchmark_hits(keyed, items, id_col="__key", text_col=text_col, **rules).select(F.col("doc_id").alias("__hit")).distinct()
-    return keyed.join(hit, F.col("__key") == F.col("__hit"), "left_anti").drop("__key")
+    in one of them, and a hit depends on no other item's length. A hit has a normalised BM25 score of `least` or more, and `question`
+    and `answer` of the word pairs of both parts (the answer is the last sentence). Texts without hits, null and empty texts have no
+    rows; items that are null or without words are never found; items with one text are all found; repeated rows of docs repeat
+    their hits. Document frequencies and lengths are those of all items. Items are indexed in lots of about index_bytes, whatever
+    their number; the documents are read once, and each slice of them meets every lot.
+    """
+    bench = Benchmark(items, item_id_col, item_text_col, index_bytes)
+
+    @F.pandas_udf(f"array<struct<item_id:{bench.item_type},score:double,question_overlap:double,answer_overlap:double>>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out, at = [[] for _ in range(len(texts))], 0
+            for part in slices(texts):
+                for d, *hit in bench.hits(part, least, question, answer):
+                    out[at + d].append(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), hit, strict=True)))
+                at += len(part)
+            yield pd.Series(out, dtype=object)
+
+    each = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.explode(found(F.col(text_col))).alias("hit"))
+    return each.select("doc_id", "hit.*")
+
+
+def without_benchmark(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+    least: float = SCORE, question: float = QUESTION, answer: float = ANSWER, index_bytes: int = INDEX_BYTES,
+) -> DataFrame:
+    """The rows of docs that hold no test item, by the rules of benchmark_hits; each is judged by its text alone, in the pass that
+    reads it. Null and empty texts stay, as do all columns, null and repeated ids and repeated rows."""
+    bench = Benchmark(items, item_id_col, item_text_col, index_bytes)
+
+    @F.pandas_udf("boolean")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            at = 0
+            for part in slices(texts):
+                for d in {d for d, *_ in bench.hits(part, least, question, answer)}:
+                    out[at + d] = True
+                at += len(part)
+            yield pd.Series(out)
+
+    marked = docs.withColumn("__held", held(F.col(text_col)))
+    return marked.where("NOT __held").drop("__held")
