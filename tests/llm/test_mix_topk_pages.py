@@ -57,6 +57,26 @@ def test_top_k_equals_brute_force(spark, seed):
     assert topk.exact_top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_with_a_hot_vector_repeated_ids_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "FIRST", 2)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    r = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0] if i % 3 == 0 else [float(x) for x in r.normal(0, 1, 2)]) for i in range(300)]
+    rows += [(100, [float(i), 0.5]) for i in range(15)] + [(7, [3.0, 3.0])] * 14 + [(200, [1.0, 2.0, 3.0]), (9, [2.0, 2.0, 2.0]), (900, [])]
+    rows += [(1000 + i, [2.0**40 + i, -(2.0**41)]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(vectors).collect()))
+    want = []
+    whole = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows]
+    for q in sorted({i for i, _ in rows if i % 100 == 0}):
+        own = min(v for i, v in whole if i == q)
+        nearest = lambda s: max(min(s, 2**63 - 1024), -(2**63) + 1024) if abs(s) >= 2**63 else s
+        scored = sorted((-nearest(sum(a * b for a, b in zip(own, v, strict=True))), i) for i, v in whole if i != q and len(v) == len(own))[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == want
+
+
 def test_page_layout():
     html = "<title>no</title><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><caption>T<tr><td>1<td>two<tr><td>three<td>4</table>x<p>p1<p>p2<div hidden>no</div><pre> a\n  b</pre><ol start=3><li>x<li>y</ol>a &amp; b<br>c<script>no</script>tail <b>bo</b>ld<span style='display: none'>no</span>"
     want = "- a\n- b\n  - c\n- d\n\nT\n1     | two\nthree | 4\n\nx\n\np1\n\np2\n\n a\n  b\n\n3. x\n4. y\n\na & b\nctail bold"
