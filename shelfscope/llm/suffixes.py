@@ -2,32 +2,36 @@
 
 The suffix array of a batch is sparse: of each stretch of text it has the suffixes that start where a hash of 32 bytes is the
 smallest of a match-long window, so that equal windows hold the same suffix at the same place, wherever they are. An entry has the
-hash by which it is sorted (key), a hash of all the text that its windows cover (ctx), how often that text was seen, and one
-place where it stands. A new batch is merge-scanned against the arrays that exist: an equal entry is a repeat of all its windows,
-on both sides; entries with one key and different texts are compared window by window. Then the array joins the family, and while
-the two last arrays stand for equally many batches they are merged, so that an entry is rewritten as often as the logarithm of
-the number of batches.
+first 32 bytes of its suffix, as four numbers by which the array is sorted as bytes are, 128 bits of hashes of all the text that
+its windows cover (ctx), how often that text was seen, and one place where it stands. A new batch gets an array, which is
+merge-scanned against the arrays that exist: an equal entry is a repeat of all its windows, on both sides; entries that begin
+alike with different texts around are compared window by window. Then the array joins the family, and while the two last arrays
+stand for equally many batches they are merged, so that an entry is rewritten as often as the logarithm of the number of batches.
+The family lives in a folder and can be opened again for the next batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_table, let_go, materialize
+from .shared import delete_folder, drop_table, let_go, materialize, shared_folder, text_key
 
 #: Bytes of a gram, and bytes of a text that are worked on at once (longer ones in pieces that overlap).
 GRAM, PIECE = 32, 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
+#: Two rolling hashes: of each the base and a number for each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BYTES = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -35,21 +39,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base of the rolling hash, and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 4096)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, dtype=np.uint64)], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
-    return _powers[0], _powers[1]
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of a rolling hash, and of its inverse modulo 2^64."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        size, base = max(n, PIECE + 4096), _BASES[which]
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, dtype=np.uint64)], dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
+        _powers[which] = up, down
+    return _powers[which]
 
 
 class Rolling:
-    """Hashes of any stretch of a piece of bytes."""
+    """Hashes of any stretch of a piece of bytes, by one of two independent functions."""
 
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _power_tables(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, which: int = 0):
+        up, self.down = _power_tables(len(raw) + 1, which)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum(_BYTES[which][raw] * up[: len(raw)], out=self.sums[1:], dtype=np.uint64)
 
     def every(self, size: int) -> np.ndarray:
         """Of all stretches of this size."""
@@ -73,8 +78,9 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def sparse_suffixes(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, lo, hi, key, ctx) for all windows of `least` bytes: those that start at lo to hi of a text (both included) share a
-    suffix. ctx is a hash of bytes lo to hi + least and of where the suffix lies in them."""
+    """(text, lo, hi, head, ctx) for all windows of `least` bytes: those that start at lo to hi of a text (both included) share a
+    suffix. head: its first 32 bytes as four longs, in the order of bytes; ctx: two hashes of bytes lo to hi + least and of where
+    the suffix lies in them."""
     pieces, held = [], 0
     overlap = least - 1
     for i, raw in enumerate(texts):
@@ -107,51 +113,86 @@ def _suffixes_of(pieces: list[tuple[int, int, bytes]], least: int) -> tuple[np.n
     # a stretch ends before the next one starts, or with the last whole window of its piece
     hi = np.minimum(np.r_[lo[1:], len(at)], ends[own[lo]] - least + 1) - 1
     suffix = at[lo]
-    ctx = hashes.of(lo, hi + least) ^ _mixed((suffix - lo).astype(np.uint64) * _M2 + (hi - lo).astype(np.uint64))
+    where = (suffix - lo).astype(np.uint64) * _M2 + (hi - lo).astype(np.uint64)
+    ctx = np.stack([hashes.of(lo, hi + least) ^ _mixed(where), Rolling(raw, 1).of(lo, hi + least) ^ _mixed(where + _M1)], axis=1)
     base = np.array([p[1] for p in pieces])[own[lo]] - (ends - sizes)[own[lo]]
     text = np.array([p[0] for p in pieces])[own[lo]]
-    return text, lo + base, hi + base, grams[suffix].view(np.int64), ctx.view(np.int64)
+    head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, GRAM)[suffix]).view(">u8").astype(np.uint64)
+    return text, lo + base, hi + base, (head ^ np.uint64(1 << 63)).view(np.int64), ctx.view(np.int64)
 
 
 #: An entry's place is one long: the first start of its windows, and in the last bits how many starts follow.
 _SPAN_BITS = 12
-_ENTRY = "t long, at long, key long, ctx long"
-_STRETCH = "key long, t long, lo long, bytes binary"
-#: Texts of one key that are compared in one place.
+#: What begins a suffix, and what tells its whole stretch apart.
+HEAD, CTX = ["k1", "k2", "k3", "k4"], ["c1", "c2"]
+ENTRY = [*HEAD, *CTX]
+_STRETCH = "k1 long, k2 long, k3 long, k4 long, t long, lo long, bytes binary"
+#: Texts that begin alike and are compared in one place; what more texts begin with is compared by counting each window.
 TOGETHER = 10_000
 
 
-def text_id(text: str = "text") -> Column:
-    """64 bits by which equal texts meet."""
-    return F.xxhash64(text).alias("t")
+def distinct_texts(texts: DataFrame, least: int) -> DataFrame:
+    """(t, key, text, copies) of the different texts (text) of `least` bytes or more: t numbers them, key is 128 bits of each."""
+    grouped = texts.where(F.octet_length("text") >= least).groupBy(text_key("text").alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return materialize(grouped.select(F.monotonically_increasing_id().alias("t"), "key", "text", "copies"), "distinct-texts")
 
 
 def suffix_entries(texts: DataFrame, least: int) -> DataFrame:
-    """One row for each suffix of the sparse array of texts (t, text)."""
+    """One row for each suffix of the sparse array of texts (t, text, copies)."""
     if not GRAM < least <= GRAM + (1 << _SPAN_BITS):
         raise ValueError(f"least must be above {GRAM} and at most {GRAM + (1 << _SPAN_BITS)}")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            t = b["t"].to_numpy()
-            for text, lo, hi, key, ctx in sparse_suffixes([x.encode("utf-8", "surrogatepass") for x in b["text"]], least):
-                yield pd.DataFrame({"t": t[text], "at": (lo << _SPAN_BITS) + (hi - lo), "key": key, "ctx": ctx})
+            t, copies = b["t"].to_numpy(), b["copies"].to_numpy()
+            for text, lo, hi, head, ctx in sparse_suffixes([x.encode("utf-8", "surrogatepass") for x in b["text"]], least):
+                columns = dict(zip(ENTRY, np.ascontiguousarray(np.concatenate([head, ctx], axis=1).T), strict=True))
+                yield pd.DataFrame(columns | {"t": t[text], "at": (lo << _SPAN_BITS) + (hi - lo), "copies": copies[text]})
 
-    return texts.mapInPandas(cut, _ENTRY)
+    return texts.select("t", "text", "copies").mapInPandas(cut, ", ".join(f"{c} long" for c in [*ENTRY, "t", "at", "copies"]))
 
 
 def _array(entries: DataFrame, count: Column) -> DataFrame:
-    """Entries as a sorted array: one row for each text that a suffix stands in, with its count and one place."""
-    found = entries.groupBy("key", "ctx").agg(F.sum(count).alias("n"), F.first("t").alias("t"), F.first("at").alias("at"))
-    return materialize(found.sortWithinPartitions("key", "ctx"), "suffix-array")
+    """Entries as a sorted array: one row for each stretch that a suffix stands in, with its count and one place."""
+    found = entries.groupBy(*ENTRY).agg(F.sum(count).alias("n"), F.first("t").alias("t"), F.first("at").alias("at"))
+    return materialize(found.sortWithinPartitions(*ENTRY), "suffix-array")
+
+
+def _paths(tables: list[DataFrame]) -> list[str]:
+    """The folders that tables are read from, each once."""
+    return list(dict.fromkeys(f.rpartition("/")[0] for t in tables for f in t.inputFiles()))
 
 
 class SuffixIndexFamily:
-    """Suffix arrays of 1, 2, 4 ... batches in the shared folder, and the repeats that the batches have shown."""
+    """Suffix arrays of 1, 2, 4 ... batches in the shared folder, and the repeats that the batches have shown.
 
-    def __init__(self, least: int):
-        self.least, self.levels = least, []  # (number of batches, array)
+    The tables are listed in a manifest in the family's folder, so that another job can open the family and add its batch.
+    """
+
+    def __init__(self, spark: SparkSession, least: int, folder: str):
+        self.spark, self.least, self.folder = spark, least, folder
+        self.levels: list[tuple[int, DataFrame]] = []  # (number of batches, array)
         self.repeats: list[DataFrame] = []  # (t, at): all windows of these places are repeated
+        self.texts: list[DataFrame] = []  # (t, text, ...) of each batch
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SuffixIndexFamily:
+        said = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+        family = cls(spark, said["least"], folder)
+        read = spark.read.parquet
+        family.levels = [(n, read(p)) for n, p in said["levels"]]
+        family.repeats, family.texts = [read(p) for p in said["repeats"]], [read(p) for p in said["texts"]]
+        return family
+
+    def save(self) -> None:
+        """Write the manifest, a few lines whatever the batches hold."""
+        said = {"least": self.least, "levels": [[n, *_paths([t])] for n, t in self.levels], "repeats": _paths(self.repeats), "texts": _paths(self.texts)}
+        self.spark.range(1).select(F.lit(json.dumps(said)).alias("value")).write.mode("overwrite").text(f"{self.folder}/manifest")
+
+    def drop(self) -> None:
+        for t in [*(t for _, t in self.levels), *self.repeats]:
+            drop_table(t)
+        delete_folder(self.spark, self.folder)
 
     def merge_equal(self) -> None:
         """Merge the last arrays while they stand for equally many batches."""
@@ -161,45 +202,54 @@ class SuffixIndexFamily:
             drop_table(a)
             drop_table(b)
 
-    def add(self, entries: DataFrame) -> None:
-        """Merge-scan the entries (distinct, with the copies of their text) of a new batch against all arrays, and add them to the family."""
+    def add(self, texts: DataFrame) -> None:
+        """Merge-scan the suffix array of a batch of distinct texts (t, text, copies; a table that stays) against all arrays, and
+        add it to the family. t must tell the texts of all batches apart."""
         self.merge_equal()
+        entries = materialize(suffix_entries(texts, self.least), "suffixes")
         new = _array(entries, F.col("copies"))
-        none = F.lit(None).cast("long")
-        merged = new.select("key", "ctx", "n", F.lit(0).alias("n_old"), none.alias("old_t"), none.alias("old_at"), F.lit(1).alias("fresh"))
-        for _, level in self.levels:
-            merged = merged.unionByName(level.select("key", "ctx", "n", F.col("n").alias("n_old"), F.col("t").alias("old_t"), F.col("at").alias("old_at"), F.lit(0).alias("fresh")))
+        same = new.where("n > 1").select(*ENTRY)
+        there = []
         if self.levels:
-            merged = merged.groupBy("key", "ctx").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "n_old"), (F.max, "old_t"), (F.max, "old_at"), (F.max, "fresh"))))
-        same = materialize(merged.where("fresh = 1 AND n > 1").select("key", "ctx", "n_old", "old_t", "old_at"), "equal-entries")
-        here = entries.join(same.select("key", "ctx"), ["key", "ctx"]).select("t", "at")
-        # one that stood alone is a repeat now; of several each has become one before
-        there = same.where("n_old = 1").select(F.col("old_t").alias("t"), F.col("old_at").alias("at"))
-        self.repeats.append(materialize(here.unionByName(there), "repeats"))
+            # both sides of each scan are sorted by their suffixes; an entry may stand in several arrays
+            met = [new.select(*ENTRY).join(level.select(*ENTRY, F.col("n").alias("n_old"), F.struct("t", "at").alias("old")).hint("merge"), ENTRY) for _, level in self.levels]
+            old = materialize(reduce(DataFrame.unionByName, met).groupBy(*ENTRY).agg(F.sum("n_old").alias("n_old"), F.max("old").alias("old")), "equal-entries")
+            same = same.unionByName(old.select(*ENTRY)).distinct()
+            # one that stood alone is a repeat now; of several each has become one before
+            there = [old.where("n_old = 1").select("old.t", "old.at")]
+        here = entries.join(same, ENTRY).select("t", "at")
+        self.repeats.append(materialize(reduce(DataFrame.unionByName, [here, *there]), "repeats"))
         self.levels.append((1, new))
-        drop_table(same)
-        let_go(entries.sparkSession)
-
-    def repeated(self, texts: DataFrame) -> DataFrame:
-        """(t, at) of all repeated windows; texts (t, text) are read again where entries have to be compared."""
+        self.texts.append(texts)
+        drop_table(entries)
+        if self.levels[:-1]:
+            drop_table(old)
+        self.save()
+        let_go(self.spark)
+
+    def repeated(self) -> DataFrame:
+        """(t, at) of all repeated windows; texts are read again where entries have to be compared."""
         least = self.least
         entries = reduce(DataFrame.unionByName, [t for _, t in self.levels])
-        several = entries.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key")
-        asked = entries.join(several, "key").groupBy("t").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        several = entries.groupBy(*HEAD).agg(F.min(F.struct(*CTX)).alias("a"), F.max(F.struct(*CTX)).alias("b")).where("a <> b").select(*HEAD)
+        asked = entries.join(several, HEAD).groupBy("t").agg(F.collect_list(F.struct(*HEAD, "at")).alias("asked"))
         asked = materialize(asked, "asked")
-        let_go(texts.sparkSession)
-        once = texts.groupBy("t").agg(F.first("text").alias("text"))
-        found = asked.join(once, "t").select("t", "asked", "text")
+        let_go(self.spark)
+        texts = reduce(DataFrame.unionByName, [t.select("t", "text") for t in self.texts])
+        found = asked.join(texts, "t").select("t", "asked", "text")
         cut = materialize(found.mapInPandas(lambda it: _stretches(it, least), _STRETCH), "stretches")
-        let_go(texts.sparkSession)
-        # the few texts of most keys are compared in one place; keys with many texts by counting each window
-        many = cut.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") > TOGETHER).select("key")
-        few = cut.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+        drop_table(asked)
+        let_go(self.spark)
+        # the few texts of most beginnings are compared in one place; where there are many, by counting each window
+        many = cut.groupBy(*HEAD).agg(F.count("*").alias("texts")).where(F.col("texts") > TOGETHER).select(*HEAD)
+        few = cut.join(many, HEAD, "left_anti").repartition(*HEAD).sortWithinPartitions(*HEAD)
         some = few.mapInPandas(lambda it: _equal_windows(it, least), "t long, at long")
-        each = cut.join(many, "key").mapInPandas(lambda it: _all_windows(it, least), "key long, window long, t long, at long")
-        twice = each.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window")
-        rest = each.join(twice, ["key", "window"]).select("t", "at")
-        return reduce(DataFrame.unionByName, self.repeats).unionByName(some).unionByName(rest)
+        each = cut.join(many, HEAD).mapInPandas(lambda it: _all_windows(it, least), "w1 long, w2 long, t long, at long")
+        twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+        rest = each.join(twice, ["w1", "w2"]).select("t", "at")
+        marks = materialize(reduce(DataFrame.unionByName, self.repeats).unionByName(some).unionByName(rest), "marks")
+        drop_table(cut)
+        return marks
 
 
 def _stretches(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -210,37 +260,52 @@ def _stretches(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataF
             raw = text.encode("utf-8", "surrogatepass")
             for a in asked:
                 lo, more = a["at"] >> _SPAN_BITS, a["at"] & ((1 << _SPAN_BITS) - 1)
-                rows.append((a["key"], t, lo, raw[lo : lo + more + least]))
-        yield pd.DataFrame(rows, columns=["key", "t", "lo", "bytes"])
+                rows.append((*(a[k] for k in HEAD), t, lo, raw[lo : lo + more + least]))
+        yield pd.DataFrame(rows, columns=[*HEAD, "t", "lo", "bytes"])
 
 
-def _windows_of(b: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of the stretches: the row, the start and the hash."""
-    sizes = b["bytes"].map(len).to_numpy(np.int64)
-    hashes = Rolling(np.frombuffer(b"".join(b["bytes"]), dtype=np.uint8))
-    many = sizes - least + 1
-    row = np.repeat(np.arange(len(b)), many)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(np.cumsum(sizes) - sizes, many) + inside
-    return row, b["lo"].to_numpy(np.int64)[row] + inside, hashes.of(at, at + least)
+class _Windows:
+    """All windows of some stretches: the row, the start in its text and the place among the joined bytes of each."""
+
+    def __init__(self, b: pd.DataFrame, least: int):
+        sizes = b["bytes"].map(len).to_numpy(np.int64)
+        self.raw, self.least = np.frombuffer(b"".join(b["bytes"]), dtype=np.uint8), least
+        many = sizes - least + 1
+        self.row = np.repeat(np.arange(len(b)), many)
+        inside = np.arange(len(self.row)) - np.repeat(np.cumsum(many) - many, many)
+        self.start = b["lo"].to_numpy(np.int64)[self.row] + inside
+        self.at = np.repeat(np.cumsum(sizes) - sizes, many) + inside
+
+    def hashes(self, which: int) -> np.ndarray:
+        return Rolling(self.raw, which).of(self.at, self.at + self.least)
+
+    def equal(self) -> np.ndarray:
+        """Which windows stand elsewhere too: those of one hash are compared byte by byte with the first of them."""
+        _, first, back, n = np.unique(self.hashes(0), return_index=True, return_inverse=True, return_counts=True)
+        good = n[back] > 1
+        mine, other = np.flatnonzero(good), first[back][good]
+        bytes_of = np.lib.stride_tricks.sliding_window_view(self.raw, self.least)
+        same = [(bytes_of[self.at[mine[i : i + 65536]]] == bytes_of[self.at[other[i : i + 65536]]]).all(axis=1) for i in range(0, len(mine), 65536)]
+        if len(mine) and not np.concatenate(same).all():  # two texts with one hash
+            held = pd.Series([self.raw[a : a + self.least].tobytes() for a in self.at[mine].tolist()])
+            good[mine] = held.duplicated(keep=False).to_numpy()
+        return good
 
 
 def _all_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
-            row, start, window = _windows_of(b, least)
-            yield pd.DataFrame({"key": b["key"].to_numpy()[row], "window": window.view(np.int64), "t": b["t"].to_numpy()[row], "at": start << _SPAN_BITS})
+            w = _Windows(b, least)
+            yield pd.DataFrame({"w1": w.hashes(0).view(np.int64), "w2": w.hashes(1).view(np.int64), "t": b["t"].to_numpy()[w.row], "at": w.start << _SPAN_BITS})
 
 
 def _equal_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key: a batch is compared without its last key, which goes to the next batch."""
+    """Rows come sorted by the beginnings of their suffixes: a batch is compared without its last one, which goes to the next batch."""
 
     def compared(b: pd.DataFrame) -> pd.DataFrame:
-        row, start, window = _windows_of(b, least)
-        known = window ^ _mixed(b["key"].to_numpy().view(np.uint64)[row])
-        _, back, n = np.unique(known, return_inverse=True, return_counts=True)
-        good = n[back] > 1
-        row, start = row[good], start[good]
+        w = _Windows(b, least)
+        good = w.equal()
+        row, start = w.row[good], w.start[good]
         first = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)] if len(row) else np.empty(0, bool)
         lo = np.flatnonzero(first)
         hi = np.r_[lo[1:], len(row)] - 1 if len(lo) else lo
@@ -251,7 +316,7 @@ def _equal_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.D
         b = b if held is None else pd.concat([held, b], ignore_index=True)
         if not len(b):
             continue
-        last = b["key"].to_numpy() == b["key"].iloc[-1]
+        last = (b[HEAD] == b[HEAD].iloc[-1]).all(axis=1).to_numpy()
         held = b[last]
         if not last.all():
             yield compared(b[~last].reset_index(drop=True))
@@ -284,25 +349,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of `least` bytes that covers it starts anywhere else too, in the same text or another; matches are
     judged on the input and never cross texts. Null texts count as empty, texts of fewer bytes lose nothing, equal texts of
     `least` bytes or more lose all. Rows with null or repeated ids are texts like any other. An empty table gives an empty
-    result; other columns are ignored. Strings are equal if 128 bits of hashes are, texts if 64 bits are. The texts join the index
-    in `batches` batches.
+    result; other columns are ignored. Texts are equal if 128 bits of MD5 are; stretches if their 32 first bytes and 128 bits of
+    hashes are. The texts join the index in `batches` batches.
     """
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = plain.select(text_id(), "text").where(F.octet_length("text") >= least)
-    # equal texts have equal entries: each is kept once, with the number of copies
-    entries = suffix_entries(texts, least).groupBy("t", "at", "key", "ctx").agg(F.count("*").alias("copies")).withColumn("batch", F.pmod(F.col("t"), F.lit(batches)).cast("int"))
-    entries = materialize(entries, "suffixes", partition_by="batch")
-    family = SuffixIndexFamily(least)
+    texts = distinct_texts(plain.select("text"), least)
+    family = SuffixIndexFamily(spark, least, f"{shared_folder(spark)}/suffix-family-{uuid.uuid4().hex}")
     for b in range(batches):
-        family.add(entries.where(F.col("batch") == b).drop("batch"))
-    drop_table(entries)
-    marks = materialize(family.repeated(texts), "marks")
-    for _, t in family.levels:
-        drop_table(t)
-    let_go(docs.sparkSession)
-    spans = marks.groupBy("t").agg(F.collect_set("at").alias("spans"))
-    keyed = plain.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes"), text_id())
-    joined = keyed.join(spans, "t", "left").select("id", "text", "n_bytes", "spans")
+        family.add(texts.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b))
+    marks = family.repeated()
+    family.drop()
+    spans = materialize(marks.groupBy("t").agg(F.collect_set("at").alias("spans")).join(texts.select("t", "key"), "t").select("key", "spans"), "spans")
+    drop_table(marks)
+    drop_table(texts)
+    let_go(spark)
+    keyed = plain.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes"), text_key("text").alias("key"))
+    joined = keyed.join(spans, "key", "left").select("id", "text", "n_bytes", "spans")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInPandas(lambda it: _kept(it, least), schema)

@@ -110,6 +110,32 @@ def test_repeated_passages_of_an_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_family_that_is_opened_again_finds_repeats_in_what_it_held(spark, tmp_path):
+    shared = prose(80)
+    batches = [[f"{prose(30)} {shared} {prose(10)}", prose(90)], [prose(50), f"{shared[20:]} {prose(20)}"], [prose(70) + shared[:260]]]
+    suffixes.SuffixIndexFamily(spark, 200, str(tmp_path)).save()
+    numbered = 0
+    for texts in batches:
+        rows = [(numbered + i, t, 1) for i, t in enumerate(texts)]
+        numbered += len(rows)
+        table = suffixes.materialize(spark.createDataFrame(rows, "t long, text string, copies long"), "batch")
+        suffixes.SuffixIndexFamily.open(spark, str(tmp_path)).add(table)
+    family = suffixes.SuffixIndexFamily.open(spark, str(tmp_path))
+    assert [n for n, _ in family.levels] == [2, 1]
+    whole = [t.encode() for texts in batches for t in texts]
+    got = {(r.t, i) for r in family.repeated().collect() for i in range(r["at"] >> 12, (r["at"] >> 12) + (r["at"] & 4095) + 1)}
+    windows = Counter(x[i : i + 200] for x in whole for i in range(len(x) - 199))
+    assert got == {(t, i) for t, x in enumerate(whole) for i in range(len(x) - 199) if windows[x[i : i + 200]] > 1}
+
+
+def test_suffix_arrays_are_sorted_as_bytes_are():
+    raw = [prose(400).encode()]
+    (_, lo, hi, head, _), = suffixes.sparse_suffixes(raw, 200)
+    shown = [(h, raw[0]) for h in map(tuple, head.tolist())]
+    starts = [next(a for a in range(x, y + 200) if np.frombuffer(raw[0][a : a + 32], ">u8").astype(np.uint64).tolist() == [k % 2**64 ^ 2**63 for k in h]) for (h, _), x, y in zip(shown, lo, hi, strict=True)]
+    assert [raw[0][a : a + 32] for _, a in sorted(zip(map(tuple, head.tolist()), starts, strict=True))] == sorted(raw[0][a : a + 32] for a in starts)
+
+
 def test_suffixes_cover_every_window_once(monkeypatch):
     texts = [t.encode() for t in (prose(900), "ab" * 900, "a" * 150, prose(40))]
     for piece in (1 << 20, 500):
