@@ -126,7 +126,7 @@ _SPAN_BITS = 12
 #: What begins a suffix, and what tells its whole stretch apart.
 HEAD, CTX = ["k1", "k2", "k3", "k4"], ["c1", "c2"]
 ENTRY = [*HEAD, *CTX]
-_STRETCH = "k1 long, k2 long, k3 long, k4 long, t long, lo long, bytes binary"
+_STRETCH = "head long, t long, lo long, bytes binary"
 #: Texts that begin alike and are compared in one place; what more texts begin with is compared by counting each window.
 TOGETHER = 10_000
 
@@ -227,13 +227,21 @@ class SuffixIndexFamily:
         self.save()
         let_go(self.spark)
 
-    def repeated(self) -> DataFrame:
-        """(t, at) of all repeated windows; texts are read again where entries have to be compared."""
+    def repeated(self, last: bool = False) -> DataFrame:
+        """(t, at) of all repeated windows; texts are read again where entries have to be compared. last: the arrays can go.
+
+        From here on a hash stands for what begins a suffix: it only brings together what is then compared as bytes.
+        """
         least = self.least
-        entries = reduce(DataFrame.unionByName, [t for _, t in self.levels])
-        several = entries.groupBy(*HEAD).agg(F.min(F.struct(*CTX)).alias("a"), F.max(F.struct(*CTX)).alias("b")).where("a <> b").select(*HEAD)
-        asked = entries.join(several, HEAD).groupBy("t").agg(F.collect_list(F.struct(*HEAD, "at")).alias("asked"))
+        head = F.xxhash64(*HEAD).alias("head")
+        entries = reduce(DataFrame.unionByName, [t.select(head, *CTX, "t", "at") for _, t in self.levels])
+        several = entries.groupBy("head").agg(*(f(c).alias(f"{n}_{c}") for c in CTX for n, f in (("min", F.min), ("max", F.max)))).where("min_c1 <> max_c1 OR min_c2 <> max_c2").select("head")
+        asked = entries.select("head", "t", "at").join(several, "head").groupBy("t").agg(F.collect_list(F.struct("head", "at")).alias("asked"))
         asked = materialize(asked, "asked")
+        if last:
+            for _, t in self.levels:
+                drop_table(t)
+            self.levels = []
         let_go(self.spark)
         texts = reduce(DataFrame.unionByName, [t.select("t", "text") for t in self.texts])
         found = asked.join(texts, "t").select("t", "asked", "text")
@@ -241,10 +249,10 @@ class SuffixIndexFamily:
         drop_table(asked)
         let_go(self.spark)
         # the few texts of most beginnings are compared in one place; where there are many, by counting each window
-        many = cut.groupBy(*HEAD).agg(F.count("*").alias("texts")).where(F.col("texts") > TOGETHER).select(*HEAD)
-        few = cut.join(many, HEAD, "left_anti").repartition(*HEAD).sortWithinPartitions(*HEAD)
+        many = cut.groupBy("head").agg(F.count("*").alias("texts")).where(F.col("texts") > TOGETHER).select("head")
+        few = cut.join(many, "head", "left_anti").repartition("head").sortWithinPartitions("head")
         some = few.mapInPandas(lambda it: _equal_windows(it, least), "t long, at long")
-        each = cut.join(many, HEAD).mapInPandas(lambda it: _all_windows(it, least), "w1 long, w2 long, t long, at long")
+        each = cut.join(many, "head").mapInPandas(lambda it: _all_windows(it, least), "w1 long, w2 long, t long, at long")
         twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         rest = each.join(twice, ["w1", "w2"]).select("t", "at")
         marks = materialize(reduce(DataFrame.unionByName, self.repeats).unionByName(some).unionByName(rest), "marks")
@@ -260,8 +268,8 @@ def _stretches(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataF
             raw = text.encode("utf-8", "surrogatepass")
             for a in asked:
                 lo, more = a["at"] >> _SPAN_BITS, a["at"] & ((1 << _SPAN_BITS) - 1)
-                rows.append((*(a[k] for k in HEAD), t, lo, raw[lo : lo + more + least]))
-        yield pd.DataFrame(rows, columns=[*HEAD, "t", "lo", "bytes"])
+                rows.append((a["head"], t, lo, raw[lo : lo + more + least]))
+        yield pd.DataFrame(rows, columns=["head", "t", "lo", "bytes"])
 
 
 class _Windows:
@@ -316,7 +324,7 @@ def _equal_windows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.D
         b = b if held is None else pd.concat([held, b], ignore_index=True)
         if not len(b):
             continue
-        last = (b[HEAD] == b[HEAD].iloc[-1]).all(axis=1).to_numpy()
+        last = b["head"].to_numpy() == b["head"].iloc[-1]
         held = b[last]
         if not last.all():
             yield compared(b[~last].reset_index(drop=True))
@@ -358,7 +366,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     family = SuffixIndexFamily(spark, least, f"{shared_folder(spark)}/suffix-family-{uuid.uuid4().hex}")
     for b in range(batches):
         family.add(texts.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b))
-    marks = family.repeated()
+    marks = family.repeated(last=True)
     family.drop()
     spans = materialize(marks.groupBy("t").agg(F.collect_set("at").alias("spans")).join(texts.select("t", "key"), "t").select("key", "spans"), "spans")
     drop_table(marks)
