@@ -6,6 +6,7 @@ Two foldings and three notions of an emoji exist side by side because the rules
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import wraps
@@ -15,7 +16,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words and patterns that decide results.
-STORE_NAME = r"mimos korea(?: design)?|\bmimos\b|\bmkd\b"
 GENERIC_PHRASES = (
     r"\b(?:importad[oa]s?|coreian?[oa]s?|coreano|coreana|koreia|kpop|k-pop|k-snacks?|bebida|snack|salgadinhos?|original de|de|da|do|com|c/|e|para|"
     r"premium|sabor(?:es)?|cor|un|unidades?|caixa|crocante|batata frita|design)\b"
@@ -25,9 +25,11 @@ VARIANT_NOISE = r"\b(?:de|com|sem|acucar|zero|importad[oa]|\d+(?:ml|g|l)?)\b"
 NET_CONTENT = r"(?i)(\d+(?:[.,]\d+)?)\s?(ml|g|kg)\b"
 MEASURE = r"(\d+(?:[.,]\d+)?)\s?(ml|l|g|kg|cm|mm|un|unid|unidades)\b"
 GENERIC_WORDS = (
-    "de da do das dos e com sem para em a o no na c coreano coreana coreanos coreanas korea koreia coreia kpop importado importada original snack salgadinho "
-    "salgadinhos bebida sabor sabores cor unidade unidades un kit caixa pacote mimos design mkd premium produto novo crocante"
-).split()
+    "de", "da", "do", "das", "dos", "e", "com", "sem", "para", "em", "a", "o", "no", "na", "c",
+    "coreano", "coreana", "coreanos", "coreanas", "korea", "koreia", "coreia", "kpop", "importado", "importada", "original",
+    "snack", "salgadinho", "salgadinhos", "bebida", "sabor", "sabores", "cor", "unidade", "unidades", "un", "kit", "caixa",
+    "pacote", "design", "premium", "produto", "novo", "crocante",
+)
 SMALL_WORDS = "de da do das dos e com sem para em a o ao na no".split()
 #: Common entities; the full table needs the pandas function below.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
@@ -37,7 +39,10 @@ EMOJI_TITLE = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{2190}-\
 EMOJI_GLUE = r"[\x{FE0F}\x{FE0E}\x{200D}\x{20E3}\x{1F3FB}-\x{1F3FF}]"
 _LATIN_FROM = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
 _LATIN_TO = "aaaaaaeeeeiiiiooooouuuucnyy"
-CJK = r"\x{1100}-\x{11FF}\x{3131}-\x{D79D}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}"
+#: First and last letters of the East Asian scripts, and the same inside a bracket of a Java and of a Python pattern.
+CJK_RANGES = ((0x1100, 0x11FF), (0x3131, 0xD79D), (0x3040, 0x30FF), (0x4E00, 0x9FFF))
+CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
+CJK_PYTHON = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in CJK_RANGES)
 
 
 def _string_udf(f):
@@ -135,7 +140,7 @@ def strip_emoji(text: Column) -> Column:
 
 def audit_sentences(text: Column) -> Column:
     """Stretches of 25 characters or more that end with . ! ? or stand before a check mark."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=\S)\s(?=[\x{2705}\x{2714}])"), F.trim)
+    parts = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=\S)\s(?=[\x{2705}\x{2714}])"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) >= 25)
 
 
@@ -147,9 +152,10 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(text, "[^a-z0-9 ]", " "), r"\s+"), lambda w: F.length(w) > 1))
 
 
-def title_core(folded: Column) -> Column:
-    """The words of a folded title that tell an item apart."""
-    return _words(F.regexp_replace(F.regexp_replace(folded, STORE_NAME, " "), GENERIC_PHRASES, " "))
+def title_core(folded: Column, store_name: str | None = None) -> Column:
+    """The words of a folded title that tell an item apart; store_name: a pattern of the store's own names, which don't."""
+    named = F.regexp_replace(folded, store_name, " ") if store_name else folded
+    return _words(F.regexp_replace(named, GENERIC_PHRASES, " "))
 
 
 def without_variant(title: Column) -> Column:
@@ -166,10 +172,10 @@ def variant_tokens(variant: Column) -> Column:
     return _words(F.regexp_replace(F.coalesce(variant, F.lit("")), VARIANT_NOISE, " "))
 
 
-def tokens(folded: Column) -> Column:
-    """The words of a folded name without measures and generic words."""
+def tokens(folded: Column, own_words: tuple[str, ...] = ()) -> Column:
+    """The words of a folded name without measures, generic words and the store's own names."""
     bare = F.regexp_replace(F.replace(F.regexp_replace(folded, MEASURE, " "), F.lit("'"), F.lit("")), "[^a-z0-9]+", " ")
-    generic = F.array(*map(F.lit, GENERIC_WORDS))
+    generic = F.array(*map(F.lit, (*GENERIC_WORDS, *own_words)))
     return F.array_distinct(F.filter(F.split(bare, " "), lambda w: (F.length(w) > 1) & ~F.array_contains(generic, w)))
 
 
@@ -268,11 +274,11 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " "), one), " ")
 
 
-def enforce_title(raw: Column, store_name: str = "Mimos Korea Design", most: int = 70) -> Column:
-    """A struct of the corrected title and the names of the corrections, in their order."""
+def enforce_title(raw: Column, store_names: tuple[str, ...] = (), most: int = 70) -> Column:
+    """A struct of the corrected title and the names of the corrections, in their order. store_names: longer names first."""
     bare = strip_emoji(raw)
     headed = F.when(bare.rlike(r"[|•·]"), F.get(F.split(bare, r"\s*[|•·]\s*"), F.lit(0))).otherwise(bare)
-    store = r"(?i)\b(" + store_name.replace(".", r"\.") + r"|mimos korea|mimos|mkd)\b"
+    store = r"(?i)\b(" + "|".join(map(re.escape, store_names)) + r")\b" if store_names else r"(?!)"
     named = F.regexp_replace(headed, store, " ")
     tail = r"(?i),\s*(koreia|korea|coreia|kpop|k-pop|importado|original|promo[cç][aã]o|oferta)\b.*$"
     cut = F.regexp_replace(named, tail, "")
@@ -332,6 +338,17 @@ def clean_prose(text: Column, allowed: Column) -> Column:
     return F.struct(F.array_join(F.filter(parts, lambda s: ~bad(s)), " ").alias("text"), F.filter(parts, bad).alias("removed"))
 
 
+def clean_title(title: Column, allowed: Column) -> Column:
+    """The title without the first occurrence of each claim that is not among the allowed ones; other words stay."""
+    bare = F.aggregate(unbacked_claims(title, allowed), title, _without_first)
+    return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
+
+
+def _without_first(text: Column, part: Column) -> Column:
+    at = F.instr(text, part)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))).otherwise(text)
+
+
 def appears_in_any(phrase: Column, texts: Column, fold=fold_latin) -> Column:
     """The folded words of the phrase stand together, with word boundaries, in one of the texts."""
     plain = lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(s), "[^a-z0-9]+", " ")), F.lit(" "))
@@ -359,7 +376,7 @@ def redact_secrets(text: Column, most: int = 1500) -> Column:
     return F.substring(F.regexp_replace(keyed, r"(?i)(bearer|basic)\s+[A-Za-z0-9._~+/=-]+", "$1 ***"), 1, most)
 
 
-def first_match(text: Column, rules: Iterable[tuple[str, str]], otherwise: str) -> Column:
+def first_match(text: Column, rules: Iterable[tuple[str, str]], otherwise: str | None) -> Column:
     """The name of the first rule whose pattern is found."""
     out = None
     for name, pattern in rules:

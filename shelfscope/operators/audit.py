@@ -5,8 +5,6 @@ Inputs are the tables of sources.snapshots. Pairs are found by joins on what the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,16 +42,18 @@ IMAGE_CLASSES = (
     ("screenshot", r"^capturar|captura de tela|screenshot|print[ _-]?screen|^screen[ _-]"),
     ("whatsapp_export", r"whatsapp"),
     ("promo_banner", r"desconto|promo|oferta|black[ _-]?friday|frete gr"),
-    ("junk_name", r"^(?:z+|x+|a+|teste?|test|image\d*|img[-_ ]?\d*|foto\d*|imagem\d*|whatsapp.*|screenshot.*|captura.*|design-sem-nome.*|sem-titulo.*|untitled.*|download.*|\d+|[0-9a-f]{16,})(?:-\d+)?(?:-scaled)?$|^.{0,8}$"),
-    ("descriptive", r"^(?=.*-).{12,}$"),
-)
+)
+JUNK_NAME = r"^(?:z+|x+|a+|teste?|test|image\d*|img[-_ ]?\d*|foto\d*|imagem\d*|whatsapp.*|screenshot.*|captura.*|design-sem-nome.*|sem-titulo.*|untitled.*|download.*|\d+|[0-9a-f]{16,})(?:-\d+)?(?:-scaled)?$"
+IMAGE_KINDS = (*(n for n, _ in IMAGE_CLASSES), "junk_name", "descriptive", "short_or_unclear")
 SIZE_TAG = r"^\d+(?:[.,]\d+)?\s?(?:ml|l|g|kg|cm|mm|v|litros|folhas|unidades|cores|pecas|pares|paginas|bags|latas|compartimentos|fases|em 1)$|^\d+x\d+mm$|^\d+d$"
-GENERIC_CATEGORIES = ("comida-e-bebida", "ofertas-mimos")
-OFFERS = "ofertas-mimos"
 
 
 def image_class(name: Column) -> Column:
-    return tx.first_match(F.lower(F.trim(F.coalesce(name, F.lit("")))), IMAGE_CLASSES, "short_or_unclear")
+    """The first class that fits: by pattern, then junk or very short names, then names of several words."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    junk = low.rlike(JUNK_NAME) | (F.length(low) <= 8)
+    descriptive = low.contains("-") & (F.length(low) >= 12)
+    return F.coalesce(tx.first_match(low, IMAGE_CLASSES, None), F.when(junk, "junk_name").when(descriptive, "descriptive").otherwise("short_or_unclear"))
 
 
 def _names(column: str) -> Column:
@@ -67,8 +67,14 @@ def _distinct_images() -> Column:
     return F.filter(images, lambda x, i: F.array_position(ids, x["id"]) == i + 1)
 
 
-def scorecard(products: DataFrame, core: DataFrame, media: DataFrame, categories: DataFrame, fold=tx.fold_audit) -> DataFrame:
-    """One row of checks for each product. Shared values (SKU, text, first image, sentences) are counted once and joined back."""
+def scorecard(
+    products: DataFrame, core: DataFrame, media: DataFrame, categories: DataFrame, fold=tx.fold_audit, *, store_name: str | None = None, generic_categories: tuple[str, ...] = (), offers: str | None = None,
+) -> DataFrame:
+    """One row of checks for each product. Shared values (SKU, text, first image, sentences) are counted once and joined back.
+
+    store_name: a pattern of the store's own names; generic_categories and offers: slugs of categories that say little and of the
+    category of offers.
+    """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     decode = tx.decode_entities
     attributes = F.array_join(F.transform(F.coalesce(F.col("attributes"), F.array()), lambda a: F.concat(a["name"], F.lit(": "), F.array_join(F.transform(F.coalesce(a["terms"], F.array()), lambda x: x["name"]), ", "))), " ")
@@ -80,7 +86,7 @@ def scorecard(products: DataFrame, core: DataFrame, media: DataFrame, categories
 
     said = base.select("id", F.explode(F.array_distinct(tx.audit_sentences(F.concat_ws(" ", "desc", "short")))).alias("s")).withColumn("f", fold("s"))
     frequency = said.groupBy("f").agg(F.count("*").alias("freq"))
-    common = said.select("id", "f").distinct().join(frequency, "f").groupBy("id").agg(F.round(F.avg(F.when(F.col("freq") >= 3, 1.0).otherwise(0.0)), 2).alias("boilerplate_ratio"))
+    common = said.select("id", "f").distinct().join(frequency, "f").groupBy("id").agg(rounded(F.avg(F.when(F.col("freq") >= 3, 1.0).otherwise(0.0)), 2).alias("boilerplate_ratio"))
 
     def shared(column: str, name: str) -> DataFrame:
         return base.where(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).groupBy(column).agg((F.count("*") > 1).alias(name))
@@ -113,8 +119,8 @@ def scorecard(products: DataFrame, core: DataFrame, media: DataFrame, categories
         F.length("desc").alias("description_chars"), words.alias("description_words"), F.length("short").alias("short_description_chars"), (F.col("desc") == "").alias("description_missing"),
         ((words > 0) & (words < 60)).alias("description_thin"), (F.col("short") == "").alias("short_description_missing"), F.coalesce("same_desc", F.lit(False)).alias("description_identical_to_other_product"),
         "boilerplate_ratio", tx.count_emoji(F.col("title")).alias("emoji_title"), tx.count_emoji(F.col("desc")).alias("emoji_description"), tx.count_emoji(F.col("short")).alias("emoji_short_description"),
-        F.regexp_count("desc", F.lit(r"[\x{2705}\x{2714}]")).alias("checkmark_bullets"), F.length("title").alias("title_chars"), title_flags(F.col("title"), F.col("title_f")).alias("title_flags"), slug_flags(F.col("slug")).alias("slug_flags"),
-        cats.alias("categories"), sets.only_of(cats, GENERIC_CATEGORIES).alias("only_generic_categories"), (F.array_contains(cats, OFFERS) & ~F.coalesce("on_sale", F.lit(False))).alias("in_offers_category_without_sale"),
+        F.regexp_count("desc", F.lit(r"[\x{2705}\x{2714}]")).alias("checkmark_bullets"), F.length("title").alias("title_chars"), title_flags(F.col("title"), F.col("title_f"), store_name).alias("title_flags"), slug_flags(F.col("slug")).alias("slug_flags"),
+        cats.alias("categories"), sets.only_of(cats, generic_categories).alias("only_generic_categories"), (F.array_contains(cats, F.lit(offers or "")) & ~F.coalesce("on_sale", F.lit(False))).alias("in_offers_category_without_sale"),
         _names("tags").alias("tags"), brands.alias("brands"), (F.size(brands) == 0).alias("brand_missing"), F.array_contains(brands, "Genérico").alias("brand_generic"),
         F.greatest(F.size("attributes"), F.lit(0)).alias("attributes_count"), _names("attributes").alias("attribute_names"), F.exists(F.coalesce("attributes", F.array()), lambda a: F.coalesce(a["taxonomy"], F.lit("")) != "").alias("attributes_are_global"),
         weight.alias("weight_kg"), weight.isNull().alias("weight_missing"), dims.alias("dimensions_missing"), net.alias("net_content_from_title_g_or_ml"),
@@ -123,9 +129,9 @@ def scorecard(products: DataFrame, core: DataFrame, media: DataFrame, categories
     )
 
 
-def title_flags(title: Column, folded: Column) -> Column:
+def title_flags(title: Column, folded: Column, store_name: str | None = None) -> Column:
     return sets.flags((
-        ("longer_than_70_chars", F.length(title) > 70), ("pipe_keyword_stuffing", F.regexp_count(title, F.lit(r"\|")) >= 2), ("store_name_in_title", folded.rlike(tx.STORE_NAME)),
+        ("longer_than_70_chars", F.length(title) > 70), ("pipe_keyword_stuffing", F.regexp_count(title, F.lit(r"\|")) >= 2), ("store_name_in_title", folded.rlike(store_name or r"(?!)")),
         ("keyword_list_in_title", folded.rlike(r",\s*(?:koreia|kpop|coreia)")), ("emoji_in_title", tx.count_emoji(title) > 0), ("ambiguous_multi_flavour_title", folded.rlike(r"\bsabores\b")), ("spelling_error", folded.rlike(r"koreia|ceral\b")),
     ))
 
@@ -134,20 +140,24 @@ def slug_flags(slug: Column) -> Column:
     return sets.flags((("numeric_suffix(slug_collision)", slug.rlike(r"-\d+$")), ("copy_marker", slug.rlike("copia|copy|duplicad")), ("too_long", F.length(slug) > 75)))
 
 
-def duplicate_pairs(cards: DataFrame) -> DataFrame:
+def duplicate_pairs(cards: DataFrame, store_name: str | None = None, *, stars: bool = False) -> DataFrame:
     """(a, b, ...) with a < b for products that share most title words, an image file, a SKU or a description.
 
-    Each reason is its own equi-join; the union of the candidates gets all facts. Equal empty descriptions count as equal.
+    Each reason is its own equi-join; the union of the candidates gets all facts. Equal empty descriptions count as equal. A SKU, a
+    file or a description of n products makes n (n - 1) / 2 pairs; with stars each of them is paired with the first product of
+    its group only, which connects the same products in n - 1 pairs.
     """
-    cards = cards.withColumns({"core": tx.title_core(F.col("title_f")), "variant": tx.variant_value(F.col("name"))}).withColumn("vt", tx.variant_tokens(F.col("variant")))
-    a, b = cards.alias("a"), cards.alias("b")
-    ordered = F.col("a.id") < F.col("b.id")
-    pick = lambda df: df.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    by_title = jaccard_pairs(cards, "id", "core", 0.5).select("a", "b")
-    same = [pick(a.join(b, (F.col(f"a.{c}") == F.col(f"b.{c}")) & ordered & (F.col(f"a.{c}") != ""))) for c in ("sku", "desc_key")]
-    files = cards.select("id", F.explode(F.array_distinct("image_names")).alias("file"))
-    same.append(pick(files.alias("a").join(files.alias("b"), (F.col("a.file") == F.col("b.file")) & ordered)))
-    candidates = reduce(DataFrame.unionByName, [by_title, *same]).distinct()
+    cards = cards.withColumns({"core": tx.title_core(F.col("title_f"), store_name), "variant": tx.variant_value(F.col("name"))}).withColumn("vt", tx.variant_tokens(F.col("variant")))
+    keys = F.array(F.struct(F.lit("sku").alias("of"), F.nullif("sku", F.lit("")).alias("key")), F.struct(F.lit("desc").alias("of"), F.col("desc_key").alias("key")))
+    files = F.transform(F.array_distinct("image_names"), lambda f: F.struct(F.lit("file").alias("of"), f.alias("key")))
+    shared = cards.select("id", F.explode(F.concat(keys, files)).alias("k")).select("id", "k.*").where("key IS NOT NULL")
+    if stars:
+        first = shared.groupBy("of", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+        same = shared.join(first, ["of", "key"]).where("a < id").select("a", F.col("id").alias("b"))
+    else:
+        a, b = shared.alias("a"), shared.alias("b")
+        same = a.join(b, (F.col("a.of") == F.col("b.of")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    candidates = jaccard_pairs(cards, "id", "core", 0.5).select("a", "b").unionByName(same).distinct()
     keep = ("name", "core", "vt", "variant", "sku", "image_names", "desc_key", "created", "price_brl", "stock_class")
     side = lambda x: cards.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in keep))
     both = candidates.join(side("a"), "a").join(side("b"), "b")
@@ -169,13 +179,13 @@ def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     return connected_components(links).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node")).alias("ids")).orderBy(F.col("size").desc(), "cluster")
 
 
-def family_key(title: Column, fold=tx.fold_audit) -> Column:
-    return sets.sorted_key(tx.title_core(fold(tx.without_variant(title))))
+def family_key(title: Column, fold=tx.fold_audit, store_name: str | None = None) -> Column:
+    return sets.sorted_key(tx.title_core(fold(tx.without_variant(title)), store_name))
 
 
-def variant_families(cards: DataFrame, fold=tx.fold_audit) -> DataFrame:
+def variant_families(cards: DataFrame, fold=tx.fold_audit, store_name: str | None = None) -> DataFrame:
     """(family_key, product_ids, names, prices) of products that are one but for their variant."""
-    keyed = cards.withColumn("family_key", family_key(F.col("name"), fold))
+    keyed = cards.withColumn("family_key", family_key(F.col("name"), fold, store_name))
     grouped = keyed.groupBy("family_key").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("all"), F.sort_array(F.collect_set("price_brl")).alias("prices"))
     of = lambda c: F.transform("all", lambda x: x[c])
     return grouped.where(F.size("all") > 1).select("family_key", of("id").alias("product_ids"), of("name").alias("names"), "prices").orderBy(F.size("product_ids").desc(), "family_key")
@@ -232,9 +242,24 @@ def media_totals(rows: DataFrame, in_database: Column) -> DataFrame:
     )
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x with some places, to the nearest and ties to even, by the exact value of the double: 2.675 is a little less and gives 2.67.
+
+    The product with the power of ten is taken in two doubles, of which the second tells on what side of a tie x lies.
+    """
+    x, scale = x.cast("double"), 10.0**places
+    product = x * scale
+    split = x * 134217729.0  # 2^27 + 1 parts a double in halves
+    high = split - (split - x)
+    rest = (high * scale - product) + (x - high) * scale
+    near = F.rint(product)
+    tie = F.abs(product - F.floor(product).cast("double")) == 0.5
+    return F.when(tie & (rest > 0), F.ceil(product)).when(tie & (rest < 0), F.floor(product)).otherwise(near).cast("double") / scale
+
+
 def percent(n: Column, total: Column) -> Column:
     """One place, ties to even; 0 of nothing."""
-    return F.when(total == 0, 0.0).otherwise(F.bround(100.0 * n / total, 1))
+    return F.when(total == 0, 0.0).otherwise(rounded(F.try_divide(100.0 * n, total), 1))
 
 
 def summary(cards: DataFrame, pairs: DataFrame, clusters: DataFrame, families: DataFrame) -> DataFrame:
@@ -244,7 +269,7 @@ def summary(cards: DataFrame, pairs: DataFrame, clusters: DataFrame, families: D
     totals = cards.agg(
         F.count("*").alias("published_products"), *(F.count_if(c).alias(c) for c in true), F.count_if(F.col("stock_class") == "out-of-stock").alias("out_of_stock"),
         F.count_if(F.col("images_count") == 0).alias("products_without_images"), F.count_if(F.col("images_count") == 1).alias("products_with_single_image"), F.count_if(F.col("images_repeated_entries") > 0).alias("products_with_repeated_image_entries"),
-        F.count_if(F.exists("image_name_classes", lambda c: c != "descriptive")).alias("products_with_non_descriptive_image_names"), *(has("image_name_classes", n).alias(f"images_{n}") for n in [*(c for c, _ in IMAGE_CLASSES), "short_or_unclear"]),
+        F.count_if(F.exists("image_name_classes", lambda c: c != "descriptive")).alias("products_with_non_descriptive_image_names"), *(has("image_name_classes", n).alias(f"images_{n}") for n in IMAGE_KINDS),
         F.count_if((F.col("images_count") > 0) & (F.col("images_alt_empty") == F.col("images_count") + F.col("images_repeated_entries"))).alias("products_with_all_alt_empty"), F.count_if(F.size("images_owned_by_other_post") > 0).alias("products_using_images_uploaded_for_other_posts"),
         F.count_if(F.col("emoji_description") > 0).alias("products_with_emoji_in_description"), F.sum(F.col("emoji_description") + F.col("emoji_short_description")).alias("emoji_total_in_descriptions"), F.count_if(F.col("emoji_title") > 0).alias("products_with_emoji_in_title"),
         F.count_if(F.col("attributes_count") > 0).alias("products_with_attributes"), F.count_if(F.size("dimensions_missing") > 0).alias("dimensions_incomplete"), has("title_flags", "longer_than_70_chars").alias("title_longer_than_70"), has("title_flags", "store_name_in_title").alias("title_with_store_name"),

@@ -230,5 +230,5 @@ def order_posts(t: Read) -> DataFrame:
 
 def full_export(t: Read) -> DataFrame:
     p = _posts(t, "product").where("post_status <> 'auto-draft'")
-    p = p.select("ID", "post_status", "post_date", "post_modified", "post_name", "post_title", F.char_length("post_content").alias("description_chars"), F.char_length("post_excerpt").alias("short_description_chars"))
+    p = p.select("ID", "post_status", "post_date", "post_modified", "post_name", "post_title", F.char_length("post_content").cast("long").alias("description_chars"), F.char_length("post_excerpt").cast("long").alias("short_description_chars"))
     return _wide(t, p, EXPORT_KEYS).orderBy("ID")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .similarity import MATCH
 
 
@@ -95,3 +96,25 @@ def share_budget(lengths: Column, total: int = 64_000, least: int = 2_500) -> Co
 
     start = F.struct(F.lit(total).alias("left"), F.array().cast("array<int>").alias("got"))
     return F.aggregate(lengths, start, step, lambda s: s["got"])
+
+
+def merged_ids(existing: Column, ours: Column) -> Column:
+    """Category or brand ids of a product and ours, each once, the existing ones first."""
+    none = F.array().cast("array<long>")
+    return F.array_union(F.coalesce(existing, none), F.coalesce(ours, none))
+
+
+def brand_key(name: Column, fold=tx.fold_latin) -> Column:
+    """Letters and digits of a folded name, by which brands meet whatever their spelling."""
+    return F.regexp_replace(fold(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "")
+
+
+def brand_ids(items: DataFrame, brands: DataFrame, fold=tx.fold_latin) -> DataFrame:
+    """items (brand and others) with brand_id, the smallest id of a brand (id, name) with the same key; null where there is none."""
+    known = brands.withColumn("__key", brand_key(F.col("name"), fold)).where("__key <> ''").groupBy("__key").agg(F.min("id").alias("brand_id"))
+    return items.withColumn("__key", brand_key(F.col("brand"), fold)).join(known, "__key", "left").drop("__key")
+
+
+def ids_of_names(names: Column, ids: Column) -> Column:
+    """Of an array of names those ids that a map (name to id) has; names that it lacks give null."""
+    return F.transform(names, lambda n: F.try_element_at(ids, n))

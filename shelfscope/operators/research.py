@@ -15,10 +15,15 @@ NATIVE = r"[\x{3131}-\x{D79D}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 NO_PHOTO = r"(?i)logo|icon|sprite|favicon|avatar|placeholder|loading|spinner|banner|badge|selo|flag|bandeira|payment|pagamento|frete|whatsapp|facebook|instagram|tiktok|youtube|pixel|tracking|1x1|blank|\.svg(?:\?|$)|\.gif(?:\?|$)|^data:"
 
 
-def merged_hits(hits: DataFrame) -> DataFrame:
-    """Hits (item_id, pos, url, title, text, images) by canonical address: the longest text, all images, the first title."""
+def merged_hits(hits: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Hits (item_id, pos, url, title, text, images) by canonical address: the longest text, all images, the first title.
+
+    references (item_id, url): the page that an item was given; hits of its address are left out.
+    """
     size = F.struct(F.length("text").alias("n"), (-F.col("pos")).alias("p"))
     keyed = hits.withColumn("key", tx.canonical_url(F.col("url")))
+    if references is not None:
+        keyed = keyed.join(references.select("item_id", tx.canonical_url(F.col("url")).alias("key")), ["item_id", "key"], "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "images")))
     return keyed.groupBy("item_id", "key").agg(
         F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"), F.min_by("title", "pos").alias("title"), F.max_by("text", size).alias("text"), F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["images"]))).alias("images")
@@ -46,15 +51,24 @@ def relevance(pages: DataFrame, fold=tx.fold_title) -> DataFrame:
     return pages.withColumn("__hay", fold(F.concat_ws(" ", "title", F.substring("text", 1, READ)))).withColumn("score", score).drop("__hay")
 
 
-def ranked_sources(scored: DataFrame, most: int) -> DataFrame:
-    """The pages of each item that are kept, with a place: relevant ones, and the best page in the native script even below."""
+def ranked_sources(scored: DataFrame, most: int, references: DataFrame | None = None) -> DataFrame:
+    """The pages of each item that are kept, with a place: relevant ones, and the best page in the native script even below.
+
+    An item with a reference (item_id, url) keeps one page less, as its reference takes a place.
+    """
     native = F.substring("text", 1, 3000).rlike(NATIVE) & (F.col("score") >= KEEP_NATIVE)
     best = Window.partitionBy("item_id", "__native").orderBy(F.col("score").desc(), "pos")
     marked = scored.withColumn("__native", native).withColumn("__first", F.row_number().over(best))
     good = F.col("score") >= KEEP
     kept = marked.where(good | (F.col("__native") & (F.col("__first") == 1)))
     order = Window.partitionBy("item_id").orderBy(good.desc(), F.col("score").desc(), "pos")
-    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("__native", "__first")
+    placed = kept.withColumn("place", F.row_number().over(order))
+    if references is not None:
+        taken = references.groupBy("item_id").agg(F.lit(1).alias("__taken"))
+        placed = placed.join(taken, "item_id", "left").where(F.col("place") <= most - F.coalesce("__taken", F.lit(0))).drop("__taken")
+    else:
+        placed = placed.where(F.col("place") <= most)
+    return placed.drop("__native", "__first")
 
 
 def image_candidates(sources: DataFrame, most: int = 30) -> DataFrame:

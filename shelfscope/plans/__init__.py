@@ -1 +1,3 @@
-"""plans of the catalogue engine."""
+"""Queries over the test tables; importing the package registers all of them."""
+
+from . import audits, catalogue, store  # noqa: F401

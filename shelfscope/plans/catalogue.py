@@ -21,20 +21,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Registers a query under its own name; it gets a function that reads a table."""
+def register(name: str, f: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str | None = None, doc: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a function of a table reader as a query, with the SQL that it is checked against."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(lambda table: _table(spark, sf_dir, table))
 
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: _table(spark, sf_dir, name))
+    run.__name__, run.__doc__ = name, doc or f.__doc__
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+    return run
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return run
 
-    return register
+def query(sql: str | None = None):
+    """Registers a query under its own name."""
+    return lambda f: register(f.__name__, f, sql)
 
 
 def _listed(ids: Column) -> Column:
