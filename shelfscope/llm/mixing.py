@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Every row has a fixed 60-bit hash of its id. A source takes each of its documents a whole number of times and, for what is left
+Every row has a fixed 60-bit hash of its id and text. A source takes each of its documents a whole number of times and, for what is left
 of its budget, the documents whose hash lies below a threshold. The threshold comes from nested histograms: sizes are summed by
 source and hash bucket, the bucket in which the budget runs out is found from the running sums, and only the rows of that bucket
 are summed again by finer buckets, until a bucket is a single hash. No rows are sorted.
@@ -18,9 +18,10 @@ LEVEL_BITS, LEVELS = 12, 5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def row_hash(id_col: str) -> Column:
-    """60 bits of the MD5 of the id as text (null: the empty text), the same in every run."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(id_col: str, text_col: str) -> Column:
+    """60 bits of the MD5 of the id and the text (nulls: the empty text), the same in every run."""
+    both = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def text_size(text_col: str) -> Column:
@@ -78,7 +79,7 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """One row for each source: of, source_size, target, whole (times that every row is taken), below (rows with a hash below it
     are taken once more)."""
-    rows = materialize(docs.select(F.col(source_col).alias("source"), text_size(text_col).alias("size"), row_hash(id_col).alias("hash")), "mix-rows")
+    rows = materialize(docs.select(F.col(source_col).alias("source"), text_size(text_col).alias("size"), row_hash(id_col, text_col).alias("hash")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, most), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
@@ -94,7 +95,7 @@ def mix_to_targets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     size counts runs of characters other than space and \\t to \\r (null text: 0). Sources sorted by code point, null last, weigh
     `weights`, repeating, and share all words; no target exceeds `most` times the words of its source, and the excess goes to the
     others by weight. taken = copies * size are the words that the mix takes of a row; copies is 0 to `most`. Rows of one source
-    with the same id (or null ids) share a hash and are taken alike. The same input gives the same result in every run. Sources
+    with the same id (or null ids) and the same text share a hash and are taken alike. The same input gives the same result in every run. Sources
     without words have the target 0; an empty table gives an empty result. The number of sources is taken to be small (one row
     for each is sorted in one task); rows and hot sources are not.
     """
@@ -102,6 +103,6 @@ def mix_to_targets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     new = ("size", "source_size", "target", "taken", "copies")
     keep = [c for c in docs.columns if c not in new]
     named = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
-    joined = docs.select(*keep, text_size(text_col).alias("size"), row_hash(id_col).alias("__hash")).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
+    joined = docs.select(*keep, text_size(text_col).alias("size"), row_hash(id_col, text_col).alias("__hash")).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
     copies = (F.col("__whole") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0)).cast("long")
     return joined.select(*keep, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
