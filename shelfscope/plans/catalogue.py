@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import sets
 from ..functions import text as tx
-from ..operators import similarity
+from ..operators import plan, similarity
 from ..operators.components import connected_components
 from ..operators.jobs import admitted
+from ..sources.work import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -310,19 +311,24 @@ def media_usage(t):
     """Which documents hold a passage: candidates share four words in a row, then the whole passage is looked for."""
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     items = t("benchmark").select("item_id", F.col("text").alias("passage"), split("text").alias("w"))
+    # the words inside a passage stand in a text as they are; the first and the last may be parts of longer ones
     inner = items.where(F.size("w") >= 6).select("item_id", "passage", F.array_join(F.slice("w", 2, 4), " ").alias("gram"))
     docs = t("documents").select("doc_id", "text")
-    each = docs.select("doc_id", F.posexplode(split("text")).alias("at", "a"))
-    after = lambda k: F.lead("a", k).over(Window.partitionBy("doc_id").orderBy("at"))
-    grams = each.select("doc_id", F.concat_ws(" ", "a", after(1), after(2), after(3)).alias("gram"))
+    words = split("text")
+    runs = F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " "))).otherwise(F.array().cast("array<string>"))
+    grams = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("gram"))
     candidates = grams.join(inner, "gram").select("doc_id", "item_id", "passage").distinct()
     long_ = candidates.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = docs.join(items.where(F.size("w") < 6), F.contains("text", "passage")).select("item_id", "doc_id")
+    # passages of a few words are gathered in one row (they are the short items of a test set) and looked for in the pass over the texts
+    few = items.where(F.size("w") < 6).agg(F.collect_list(F.struct("item_id", "passage")).alias("few"))
+    held = docs.join(F.broadcast(few)).select("doc_id", F.explode(F.filter("few", lambda x: F.contains("text", x["passage"]))).alias("x"))
+    short = held.select("x.item_id", "doc_id")
     hits = long_.unionByName(short).groupBy("item_id").agg(F.count("*").alias("n_docs"), _listed(F.col("doc_id")).alias("doc_ids"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("doc_ids", F.lit("")).alias("doc_ids"))
 
 
 def _part_pairs(t) -> DataFrame:
+    """Listings of one brand and line, two by two, with the features that each was given once."""
     words = F.split("p_name", " ")
     p = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.element_at(words, 1).alias("variant"), F.element_at(words, -1).alias("line"))
     # one listing for each distinct name, type and size of a brand stands for its copies; a brand and a line are a block
@@ -330,6 +336,7 @@ def _part_pairs(t) -> DataFrame:
     title = F.concat_ws(" ", "p_name", "p_type", F.concat("p_size", F.lit("ml")))
     item = items.select("p_brand", "line", F.col("id").alias("item_id"), title.alias("title"), F.col("p_brand").alias("brand"), "variant", F.lit("").alias("net_content"), F.lit("").alias("gtin"), F.lit("").alias("sku"))
     cand = items.select("p_brand", "line", "id", title.alias("c_name"), F.array("p_brand").alias("c_brands"), F.lit("").alias("c_gtin"), F.lit("").alias("c_sku"))
+    item, cand = materialize(similarity.item_features(item), "item-features"), materialize(similarity.candidate_features(cand), "candidate-features")
     return item.join(cand, ["p_brand", "line"]).where("item_id <> id")
 
 
@@ -350,7 +357,7 @@ _SCORED = """
 @query(_SCORED + " SELECT item_id, id, score FROM scored WHERE score >= 0.4")
 def compare_score(t):
     """The score of listings of one brand."""
-    return similarity.compare_listings(_part_pairs(t)).where("score >= 0.4").select("item_id", "id", "score")
+    return similarity.score_features(_part_pairs(t)).where("score >= 0.4").select("item_id", "id", "score")
 
 
 @query(_SCORED + """, top AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS place FROM scored WHERE score >= 0.55)
@@ -358,8 +365,8 @@ def compare_score(t):
     FROM top t WHERE place <= 6""")
 def top_candidates(t):
     """The six best candidates of each listing, and the verdict."""
-    scored = similarity.compare_listings(_part_pairs(t)).select("item_id", "id", "score", F.lit(0).alias("tier"), F.lit("publish").alias("status"))
-    top, verdict = similarity.verdicts(scored)
+    scored = similarity.score_features(_part_pairs(t)).select("item_id", "id", "score", F.lit(0).alias("tier"), F.lit("publish").alias("status"))
+    top, verdict = similarity.verdicts(materialize(scored.where(F.col("score") >= similarity.POSSIBLE), "scored"))
     return top.join(verdict, "item_id").select("item_id", "id", "score", "place", "verdict")
 
 
@@ -412,8 +419,11 @@ def missing_fields(t):
     rules = F.explode(F.array(*(F.struct(F.lit(a).alias("kind"), F.lit(b).alias("field")) for a, b in (("en", "quality"), ("en", "toxic"), ("fr", "quality"), ("de", "quality"), ("de", "toxic"), ("es", "quality")))))
     labels = t("labels")
     facts = labels.where("quality = 1").select("doc_id", F.lit("quality").alias("field")).unionByName(labels.where("toxic = 0").select("doc_id", F.lit("toxic").alias("field")))
-    asked = t("documents").select("doc_id", "lang", rules.alias("r")).where(F.col("lang") == F.col("r.kind")).select("doc_id", F.col("r.field").alias("field"))
-    return asked.join(facts, ["doc_id", "field"], "left_anti")
+    spark = labels.sparkSession
+    rules = spark.range(1).select(rules.alias("r")).select("r.kind", "r.field", F.lit(True).alias("blocker"))
+    products = t("documents").select(F.col("doc_id").alias("product_id"), F.col("lang").alias("kind"))
+    found = plan.missing_fields(products, rules, facts.select(F.col("doc_id").alias("product_id"), "field", F.lit(True).alias("verified")))
+    return found.select(F.col("product_id").alias("doc_id"), "field")
 
 
 @query("""
@@ -444,11 +454,16 @@ def latest_state(t):
     return last.join(F.broadcast(now)).select("user_id", "state", "last_ts", "n", (F.col("last_ts") < F.col("now") - F.expr("INTERVAL 7 DAY")).alias("stale"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS at_us FROM events),
+    a AS (SELECT event_type, min(at_us) AS at_us FROM e GROUP BY 1
+        UNION ALL SELECT a.event_type, (SELECT min(at_us) FROM e WHERE e.event_type = a.event_type AND e.at_us >= a.at_us + 600000000) FROM a WHERE a.at_us IS NOT NULL),
+    f AS (SELECT e.event_type, min(event_id) AS event_id FROM e JOIN a ON a.event_type = e.event_type AND a.at_us = e.at_us GROUP BY e.event_type, e.at_us)
+    SELECT e.event_id, e.event_type, f.event_id IS NOT NULL AS admitted FROM e LEFT JOIN f ON f.event_id = e.event_id""")
 def admission(t):
-    """At most two events of a user in any hour are admitted; those that are turned away don't count."""
-    e = t("events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return admitted(e, key="user_id", at="at", order="event_id", most=2, within=3_600_000_000)
+    """One event of a type in any ten minutes is admitted; those that are turned away don't count."""
+    e = t("events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return admitted(e, key="event_type", at="at", order="event_id", most=1, within=600_000_000).drop("at")
 
 
 @query("""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .work import materialize
+
 _NAMED = "array<struct<name:string>>"
 PRODUCT = (
     "id long, name string, slug string, permalink string, type string, sku string, description string, short_description string, on_sale boolean, is_purchasable boolean, "
@@ -47,10 +51,13 @@ def _field(column: str) -> str:
 
 
 def write_snapshot(rows: DataFrame, path: str, urls: list[str], captured_at: str) -> None:
-    """One envelope for each partition's file of records, with where they come from and when they were taken."""
-    packed = F.struct(*rows.columns)
-    lineage = [F.array(*map(F.lit, urls)).alias("source_urls"), F.lit(captured_at).alias("captured_at")]
-    rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("count"), F.collect_list(packed).alias("data")).select(*lineage, "count", "data").write.json(path)
+    """The records as lines of JSON in `data`, and in `envelope` where they come from, when they were taken and how many there are.
+
+    An envelope around all records would have to be written by one task.
+    """
+    rows.write.json(f"{path}/data", ignoreNullFields=False)
+    written = rows.sparkSession.read.schema(rows.schema).json(f"{path}/data")
+    written.agg(F.array(*map(F.lit, urls)).alias("source_urls"), F.lit(captured_at).alias("captured_at"), F.count("*").alias("count")).coalesce(1).write.json(f"{path}/envelope")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -68,14 +75,25 @@ def classify_ids(spark: SparkSession, most: int, published: DataFrame, answers:
     return ids.select("id", kind.otherwise("unresolved").alias("kind"))
 
 
+def _json_prefix(body: str) -> str | None:
+    """The first JSON array or object that a text holds, whatever follows it."""
+    for at, c in enumerate(body):
+        if c in "[{":
+            try:
+                return body[at : json.JSONDecoder().raw_decode(body, at)[1]]
+            except ValueError:
+                continue
+    return None
+
+
 def split_payloads(blocks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(url, json, raw): a text of '# title' blocks with an address line each; json is null where the payload is no JSON."""
-    part = F.explode(F.split(F.col(text_col), r"\n(?=# [^\n]*\nURL: )")).alias("block")
-    one = blocks.select(part)
+    """(url, json, raw): a text of '# title' blocks with an address line each; json is the first JSON value of a block, also where
+    other text follows it, and null where there is none."""
+    one = blocks.select(F.explode(F.split(F.col(text_col), r"\n(?=# [^\n]*\nURL: )")).alias("block"))
     url = F.regexp_extract("block", r"(?m)^URL: (\S+)", 1)
     body = F.regexp_extract("block", r"(?s)^#[^\n]*\nURL: [^\n]*\n(.*)$", 1)
-    first = F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1)
-    return one.select(url.alias("url"), F.when(F.try_parse_json(first).isNotNull(), first).alias("json"), F.trim(body).alias("raw")).where("url <> ''")
+    first = F.pandas_udf(lambda s: s.map(_json_prefix, na_action="ignore"), "string")
+    return one.select(url.alias("url"), first(body).alias("json"), F.trim(body).alias("raw")).where("url <> ''")
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -97,8 +115,15 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def get_or_create(terms: DataFrame, existing: DataFrame) -> DataFrame:
-    """(slug, id) of all terms; new ones get ids after the highest."""
+    """(slug, id) of all terms; new ones get ids after the highest, in the order of their slugs.
+
+    New slugs are dealt into ranges and numbered in each; what stands in the ranges before is added, so no task sees them all.
+    """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = terms.select("slug").distinct().join(existing.select("slug"), "slug", "left_anti")
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("slug"))).join(F.broadcast(top)).select("slug", (F.col("top") + F.col("n")).cast("long").alias("id"))
+    fresh = terms.select("slug").where("slug IS NOT NULL").distinct().join(existing.select("slug"), "slug", "left_anti")
+    placed = materialize(fresh.repartitionByRange("slug").sortWithinPartitions("slug").select("slug", F.monotonically_increasing_id().alias("at")), "new-terms")
+    range_, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.sum("n").over(Window.orderBy("range")) - F.col("n")
+    ranges = placed.groupBy(range_.alias("range")).agg(F.count("*").alias("n")).select("range", before.alias("before"))  # one row for each range
+    numbered = placed.join(F.broadcast(ranges), range_ == F.col("range")).join(F.broadcast(top)).select("slug", (F.col("top") + F.col("before") + place + 1).cast("long").alias("id"))
     return existing.select("slug", F.col("id").cast("long").alias("id")).unionByName(numbered)
