@@ -29,13 +29,13 @@ def store(spark, tmp_path_factory):
     text = "Este texto aparece em muitos produtos da loja. "
     products = [
         product(1, "Soju Sabor Morango 360ml", sku="A", description=f"<p>{text}</p>", images=[image(7, "soju-morango-360"), image(7, "soju-morango-360"), image(8, "image1", "x")], brands=[{"name": "Gen&eacute;rico"}], weight="0.1"),
-        product(2, "Soju Sabor Morango 360ml | kpop | mimos", sku="A ", description=f"<p>{text}</p>", images=[image(7, "soju-morango-360")]),
+        product(2, "Soju Sabor Morango 360ml | kpop | acme shop", sku="A ", description=f"<p>{text}</p>", images=[image(7, "soju-morango-360")]),
         product(3, "Soju Sabor Uva 360ml", description=text + "Mais.", slug="soju-2", attributes=[{"name": "Cor", "taxonomy": "pa", "terms": [{"name": "Azul"}]}]),
         product(4, "Caneca 🍓", prices={"price": "", "regular_price": ""}, on_sale=True, description="Validade de 12 meses"),
     ]
     core = [{"id": 1, "date": "2026-01-02T03", "modified": "m", "product_cat": [5, 99, 6], "product_brand": []}, {"id": 2, "date": None, "modified": "m", "product_cat": [6], "product_brand": []}]
     media = [{"id": 7, "date": "2026-01-01", "slug": "s", "post": 0, "source_url": "http://x/soju-1.png", "mime_type": "image/png", "alt_text": " "}, {"id": 9, "date": "2026-01-01", "slug": "s", "post": 3, "source_url": "http://x/a-b-c-d-e-f-g.png", "mime_type": "image/png", "alt_text": "t"}]
-    terms = [{"id": 5, "count": 1, "description": "", "name": "Comida", "slug": "comida-e-bebida", "parent": 0}, {"id": 6, "count": 0, "description": "d", "name": "Ofertas", "slug": "ofertas-mimos", "parent": 5}]
+    terms = [{"id": 5, "count": 1, "description": "", "name": "Comida", "slug": "comida-e-bebida", "parent": 0}, {"id": 6, "count": 0, "description": "d", "name": "Ofertas", "slug": "ofertas", "parent": 5}]
     out = {}
     for name, rows, schema in (("products", products, snapshots.PRODUCT), ("core", core, snapshots.CORE_PRODUCT), ("media", media, snapshots.MEDIA), ("terms", terms, snapshots.TERM)):
         (folder / f"{name}.json").write_text(json.dumps({"source_urls": ["u"], "captured_at": "t", "count": len(rows), "data": rows}))
@@ -45,7 +45,10 @@ def store(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def cards(store):
-    return audit.scorecard(store["products"], store["core"], store["media"], store["terms"]).cache()
+    return audit.scorecard(store["products"], store["core"], store["media"], store["terms"], store_name=STORE, generic_categories=("comida-e-bebida", "ofertas"), offers="ofertas").cache()
+
+
+STORE = r"\bacme shop\b"
 
 
 def test_scorecard(cards):
@@ -53,7 +56,7 @@ def test_scorecard(cards):
     assert r[1].sku_duplicated and r[2].sku_duplicated and r[3].sku_missing and not r[3].sku_duplicated
     assert (r[1].images_count, r[1].images_repeated_entries, r[1].images_alt_empty) == (2, 1, 2) and r[1].image_name_classes == ["descriptive", "junk_name"]
     assert r[1].images_owned_by_other_post == [7] and r[1].featured_image_shared_with_other_products and r[1].image_formats == ["jpg", "jpg"]
-    assert r[1].categories == ["comida-e-bebida", "ofertas-mimos"] and r[1].only_generic_categories and r[1].in_offers_category_without_sale
+    assert r[1].categories == ["comida-e-bebida", "ofertas"] and r[1].only_generic_categories and r[1].in_offers_category_without_sale
     assert r[1].description_identical_to_other_product and not r[4].description_identical_to_other_product and r[1].boilerplate_ratio == 1.0
     assert r[1].brand_generic and r[2].brand_missing and r[1].weight_below_net_content and not r[2].weight_below_net_content and r[1].dimensions_missing == ["width"]
     assert r[2].title_flags == ["pipe_keyword_stuffing", "store_name_in_title", "ambiguous_multi_flavour_title"][:2] and r[3].slug_flags == ["numeric_suffix(slug_collision)"]
@@ -61,14 +64,21 @@ def test_scorecard(cards):
     assert float(r[1].price_brl) == 10 and r[1].created.startswith("2026") and r[4].created is None
 
 
+def test_rounding_is_that_of_the_exact_value(spark):
+    values = [2.675, 0.125, 0.375, 1.005, 33.35, 0.15, 0.25, 0.35, 12.5, 1 / 3, 100.0, 0.0, 66.65, 2.5, 0.5]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(audit.rounded(F.col("x"), 2).alias("two"), audit.rounded(F.col("x"), 1).alias("one"), audit.rounded(F.col("x"), 0).alias("none")).collect()
+    assert [(r.two, r.one, r.none) for r in got] == [(round(x, 2), round(x, 1), round(x, 0)) for x in values]
+
+
 def test_pairs_clusters_families_summary(cards):
-    pairs = audit.duplicate_pairs(cards)
+    pairs = audit.duplicate_pairs(cards, STORE)
     got = {(p.a, p.b): p for p in pairs.collect()}
     assert got[1, 2].likely_same_item and got[1, 2].same_sku and got[1, 2].shared_image_files == ["soju-morango-360"] and got[1, 2].identical_description
     assert (1, 3) not in got or not got[1, 3].likely_same_item
     clusters = audit.duplicate_clusters(pairs)
     assert [(c.cluster, c["size"], c.ids) for c in clusters.collect()] == [(1, 2, [1, 2])]
-    families = audit.variant_families(cards)
+    families = audit.variant_families(cards, store_name=STORE)
+    assert {(p.a, p.b) for p in audit.duplicate_pairs(cards, STORE, stars=True).collect()} <= set(got)
     assert [1, 3] in [f.product_ids for f in families.collect()] or [1, 2, 3] in [f.product_ids for f in families.collect()]
     s = audit.summary(cards, pairs, clusters, families).first()
     assert (s.published_products, s.sku_missing, s.duplicate_candidate_clusters, s.likely_duplicate_pairs, s.pct_sku_missing) == (4, 2, 1, 1, 50.0)
@@ -82,7 +92,7 @@ def test_taxonomy_and_media(spark, store, cards):
     checks = {r.id: r for r in audit.tag_checks(tags, brands, store["terms"]).collect()}
     assert checks[1].size_tag and checks[1].orphan and checks[2].duplicates_brand and checks[3].duplicates_category and not checks[4].duplicates_category
     assert [(r.a, r.b) for r in audit.term_pairs(tags).collect()] == [(4, 5)]
-    assert [(r.pair, r.n) for r in audit.category_overlap(cards).collect()] == [("comida-e-bebida + ofertas-mimos", 1)]
+    assert [(r.pair, r.n) for r in audit.category_overlap(cards).collect()] == [("comida-e-bebida + ofertas", 1)]
     media = {r.id: r for r in audit.media_audit(store["media"], store["products"]).collect()}
     assert media[7].used_by_published_products == [1, 2] and media[7].reupload_suffix and media[7].alt_empty and media[9].used_by_published_products == [] and media[9].name_class == "descriptive"
     totals = audit.media_totals(audit.media_audit(store["media"], store["products"]), F.lit(5)).first()
@@ -227,7 +237,8 @@ def test_sources(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
     assert text.splitlines() == ["id,tags,name", "1,a; b,", "2,,é"]
     snapshots.write_snapshot(rows.coalesce(1), str(tmp_path / "snap"), ["u"], "t")
-    back = snapshots.read_snapshot(spark, str(tmp_path / "snap"), "id long, tags array<string>, name string")
+    back = spark.read.schema("id long, tags array<string>, name string").json(str(tmp_path / "snap/data"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "snap/envelope")).select("source_urls", "captured_at", "count").collect()] == [(["u"], "t", back.count())]
     assert sorted(rows_of(back, "id", "name")) == [(1, None), (2, "é")]
     published = spark.createDataFrame([(1,)], "id long")
     answers = spark.createDataFrame([(2, 401, 0), (3, 404, 403), (4, 404, 404), (5, 500, 0), (6, 404, 200)], "id long, product_status int, media_status int")

@@ -39,7 +39,7 @@ def test_codes(spark):
 
 def test_titles(spark):
     assert column(spark, ["CHUM-CHURUM morango de USB 360ML ChocoPie o'star"], tx.title_case) == ["Chum-Churum Morango de USB 360ml ChocoPie O'Star"]
-    got = column(spark, ["Soju 🍓 | promo | x", "Mimos Korea Soju, kpop importado", "palavra " * 20], tx.enforce_title)
+    got = column(spark, ["Soju 🍓 | promo | x", "Acme Shop Soju, kpop importado", "palavra " * 20], lambda c: tx.enforce_title(c, ("Acme Shop", "Acme")))
     assert (got[0].title, got[0].adjustments) == ("Soju", ["emoji", "separators"])
     assert (got[1].title, got[1].adjustments) == ("Soju", ["store_name", "keywords"])
     assert len(got[2].title) <= 70 and got[2].adjustments == ["length"]
@@ -62,11 +62,17 @@ def test_addresses(spark):
 
 
 def test_words_and_variants(spark):
-    assert sorted(column(spark, ["mimos korea snack coreano de camarao 30g sabor pimenta"], tx.title_core)[0]) == ["30g", "camarao", "pimenta"]
+    assert sorted(column(spark, ["acme shop snack coreano de camarao 30g sabor pimenta"], lambda c: tx.title_core(c, r"\bacme shop\b"))[0]) == ["30g", "camarao", "pimenta"]
     assert column(spark, ["Soju Sabor Morango, 360ml", "Soju"], tx.variant_value) == ["morango", None]
     assert column(spark, ["soju chum 360 ml de morango"], tx.tokens) == [["soju", "chum", "morango"]]
 
 
+def test_sentences_and_claims(spark):
+    text = "Uma frase que tem mais de vinte. \u2705 Outra frase que tem mais de vinte!  curta. Fim"
+    assert column(spark, [text], tx.audit_sentences) == [["Uma frase que tem mais de vinte.", "\u2705 Outra frase que tem mais de vinte!"]]
+    assert column(spark, ["Copo 300ml com 20% e 20% de vidro 300ml", "Copo"], lambda c: tx.clean_title(c, F.array(F.lit("300 ML")))) == ["Copo 300ml com e de vidro 300ml", "Copo"]
+
+
 def test_prose(spark):
     allowed = F.array(F.lit("360 ml"))
     got = column(spark, ["Bebida doce. Tem 16% de alcool. Contem 360ml. Compre agora no www.x.com."], lambda c: tx.clean_prose(c, allowed))[0]
