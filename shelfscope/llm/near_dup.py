@@ -283,10 +283,10 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stay only where no row of their class has an id. Only the row that is a copy goes, not others with its id."""
     judged = _judged(docs, id_col, text_col, least).where("first IS NOT NULL")
     first = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("key") == F.col("first.key"))
-    rows = materialize(judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.max(first).alias("stays"), F.count("*").alias("n")), "judged")
+    rows = materialize(judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.max(first).alias("__stays"), (F.count("*") > 1).alias("__many")), "judged")
     same = (F.col("__key") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))
     # one join decides about all rows; what it keeps is written, as rows that are repeated are read apart from it
-    kept = docs.withColumn("__key", text_key(text_col)).join(rows, same, "left").where(F.coalesce("stays", F.lit(True)))
-    kept = materialize(kept.withColumn("__several", F.coalesce(F.col("stays") & (F.col("n") > 1), F.lit(False))).select(*docs.columns, "__several"), "kept")
+    kept = docs.withColumn("__key", text_key(text_col)).join(rows, same, "left").where(F.coalesce("__stays", F.lit(True)))
+    kept = materialize(kept.withColumn("__several", F.coalesce(F.col("__stays") & F.col("__many"), F.lit(False))).select(*docs.columns, "__several"), "kept")
     repeated = kept.where("__several").dropDuplicates([id_col, text_col])
     return kept.where("NOT __several").unionByName(repeated).drop("__several")
