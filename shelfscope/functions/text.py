@@ -9,7 +9,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterable
-from functools import wraps
+from functools import reduce, wraps
 
 import pandas as pd
 from pyspark.sql import Column
@@ -363,6 +363,16 @@ def parse_json_text(raw: Column, schema: str) -> Column:
     return F.coalesce(good(raw), good(fenced), good(braced))
 
 
+def parse_rows(raw: Column, fields: str, required: Iterable[str], defaults: dict[str, object]) -> Column:
+    """A struct of the rows of a JSON array that have all required fields, with defaults for the others, and of how many were
+    dropped; what is no array has no rows."""
+    rows = F.coalesce(F.when(F.try_parse_json(raw).isNotNull(), F.from_json(raw, f"array<struct<{fields}>>")), F.array().cast(f"array<struct<{fields}>>"))
+    names = [f.split(":")[0].strip() for f in fields.split(",")]
+    whole = lambda r: reduce(lambda a, b: a & b, (r[c].isNotNull() for c in required))
+    kept = F.transform(F.filter(rows, whole), lambda r: F.struct(*((F.coalesce(r[c], F.lit(defaults[c])) if c in defaults else r[c]).alias(c) for c in names)))
+    return F.struct(kept.alias("rows"), (F.size(rows) - F.size(kept)).alias("dropped"))
+
+
 def near_duplicate_terms(a: Column, b: Column) -> Column:
     """Two folded terms that are equal but for an s at the end, or of which one holds the other with at most 9 characters more."""
     x, y = F.regexp_replace(a, "s+$", ""), F.regexp_replace(b, "s+$", "")

@@ -192,10 +192,20 @@ def variant_families(cards: DataFrame, fold=tx.fold_audit, store_name: str | Non
 
 
 def term_pairs(terms: DataFrame, fold=tx.fold_audit) -> DataFrame:
-    """Pairs of terms, in the order of the list, that nearly repeat each other. Vocabularies are small, so all pairs are looked at."""
-    named = terms.select("id", fold("name").alias("n"), "pos")
-    a, b = named.alias("a"), named.alias("b")
-    near = a.join(b, (F.col("a.pos") < F.col("b.pos")) & tx.near_duplicate_terms(F.col("a.n"), F.col("b.n")))
+    """Pairs of terms (id, name, pos), in the order of the list, that nearly repeat each other.
+
+    Of two such terms one is a part of the other and at most nine characters shorter, so each term meets the terms that equal one
+    of its own parts of those lengths, of which it has at most 55; vocabularies of any size are joined, not compared pair by pair.
+    """
+    named = terms.select("id", fold("name").alias("n"), "pos").withColumn("r", F.regexp_replace("n", "s+$", ""))
+    size = F.length("r")
+    lengths = F.sequence(F.greatest(size - 9, F.lit(0)), size)
+    parts = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda at: F.substr("r", at, k))))
+    whole = named.select(F.struct("id", "n", "pos").alias("x"), F.explode(F.array_distinct(parts)).alias("part"))
+    met = whole.join(named.select(F.struct("id", "n", "pos").alias("y"), F.col("r").alias("part")), "part").where("x.pos <> y.pos")
+    first = F.col("x.pos") < F.col("y.pos")
+    pairs = met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+    near = pairs.where(tx.near_duplicate_terms(F.col("a.n"), F.col("b.n")))
     return near.select(F.col("a.id").alias("a"), F.col("a.n").alias("a_name"), F.col("b.id").alias("b"), F.col("b.n").alias("b_name"))
 
 
@@ -283,9 +293,11 @@ def summary(cards: DataFrame, pairs: DataFrame, clusters: DataFrame, families: D
     return joined.withColumns({f"pct_{c}": percent(F.col(c), F.col("published_products")) for c in shown})
 
 
-def histogram(rows: DataFrame, key: Column, name: str = "key") -> DataFrame:
-    """Counts by key, the most frequent first, ties by key; missing keys are the empty text."""
-    return rows.groupBy(F.coalesce(key.cast("string"), F.lit("")).alias(name)).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), name)
+def histogram(rows: DataFrame, key: Column, name: str = "key", seen: str | None = None) -> DataFrame:
+    """Counts by key, the most frequent first; missing keys are the empty text. Ties stand in the order of a column, where one is
+    named that tells when a row was seen, else by key."""
+    counted = rows.withColumn("__seen", F.col(seen) if seen else F.lit(0)).groupBy(F.coalesce(key.cast("string"), F.lit("")).alias(name)).agg(F.count("*").alias("n"), F.min("__seen").alias("__seen"))
+    return counted.orderBy(F.col("n").desc(), "__seen", name).drop("__seen")
 
 
 def by_day(rows: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets
 from ..functions import text as tx
-from ..operators import plan, similarity
+from ..operators import audit, plan, similarity
 from ..operators.components import connected_components
 from ..operators.jobs import admitted
 from ..sources.work import materialize
@@ -298,9 +298,10 @@ def families(t):
     SELECT a.w AS a, b.w AS b FROM x a JOIN x b ON a.w < b.w
     WHERE a.r = b.r OR (len(a.r) > 3 AND (contains(a.r, b.r) OR contains(b.r, a.r)) AND abs(len(a.r) - len(b.r)) <= 9)""")
 def taxonomy_pairs(t):
-    """Terms that nearly repeat each other; terms are few, so all pairs are looked at."""
-    terms = t("part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("w")).distinct()
-    return terms.alias("a").join(terms.alias("b"), (F.col("a.w") < F.col("b.w")) & tx.near_duplicate_terms(F.col("a.w"), F.col("b.w"))).select(F.col("a.w").alias("a"), F.col("b.w").alias("b"))
+    """Terms that nearly repeat each other."""
+    terms = t("part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("name")).distinct()
+    found = audit.term_pairs(terms.select(F.col("name").alias("id"), "name", F.col("name").alias("pos")), tx.fold_latin)
+    return found.select("a", "b")
 
 
 @query("""

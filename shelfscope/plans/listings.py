@@ -257,6 +257,54 @@ def job_views(t):
     return jobs.summary(j).join(shown, "id").select("id", "product_name", "title", "status", "stock_quantity", F.coalesce("complete", F.lit(False)).alias("done"), "chars")
 
 
+@query("""
+    SELECT p_partkey, lower(strip_accents(p_name)) || ' cafe' AS folded, [p_size * 1000.0, 30.0]::VARCHAR AS sizes, CASE WHEN p_size BETWEEN 30 AND 30 OR abs(p_size - 30) / greatest(p_size, 30)::DOUBLE <= 0.03 THEN 'same' ELSE 'different' END AS same,
+        p_size::VARCHAR || ' kg' AS claims, true AS appears, p_size % 2 AS flag, p_name || chr(160) || 'x' AS decoded, p_name || ' <b>&' AS safe, 'a=' || p_partkey AS fenced, 2::BIGINT AS rows, 1::BIGINT AS dropped, 'none' AS defaulted FROM part""")
+def text_facts(t):
+    """Folding, measures, claims, entities and JSON inside texts."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    sizes = tx.measures(tx.fold_title(F.concat(F.lit("Pote "), size, F.lit(" KG e 30 g"))))
+    same = tx.same_measure(tx.measures(F.concat(size, F.lit(" g"))), tx.measures(F.lit("0,03 kg")))
+    claims = tx.unbacked_claims(F.concat(F.lit("Tem "), size, F.lit(" kg e 5 g")), F.array(F.lit("5 g")))
+    parsed = tx.parse_json_text(F.concat(F.lit('so ```json\n{"a": '), F.col("p_partkey"), F.lit("}\n``` it is")), "a long")
+    raw = F.concat(F.lit('[{"id": 1, "name": "x"}, {"name": "lost"}, {"id": '), F.col("p_partkey"), F.lit("}]"))
+    rows = tx.parse_rows(raw, "id:long,name:string", ("id",), {"name": "none"})
+    return t("part").select(
+        "p_partkey", tx.fold_title(F.concat(name, F.lit(" CAFÉ"))).alias("folded"), F.concat(F.lit("["), F.array_join(F.transform(sizes, lambda m: m["value"].cast("string")), ", "), F.lit("]")).alias("sizes"), same.alias("same"),
+        F.array_join(claims, ";").alias("claims"), tx.appears_in_any(name, F.array(F.concat(F.lit("um "), name, F.lit("!")))).alias("appears"), (F.col("p_size") % 2).alias("flag"), tx.decode_entities(F.concat(name, F.lit("&nbsp;x"))).alias("decoded"),
+        F.concat(name, F.lit(" <b>&")).alias("safe"), F.concat(F.lit("a="), parsed["a"].cast("string")).alias("fenced"), F.size(rows["rows"]).cast("long").alias("rows"), rows["dropped"].cast("long").alias("dropped"), F.get(rows["rows"], F.lit(1))["name"].alias("defaulted"),
+    )
+
+
+@query("""SELECT p_partkey, '<p>' || p_name || ' &amp; x</p><strong>b</strong>' AS html, p_name || ' & xb' AS text FROM part""")
+def safe_pages(t):
+    """Product pages with the allowed tags only, and their text."""
+    raw = F.concat(F.lit("<p onclick=x>"), "p_name", F.lit(" &amp; x<script>no()</script></p><font><strong>b</strong></font>"))
+    return t("part").select("p_partkey", listing.safe_html(raw).alias("html"), listing.html_text(raw).alias("text"))
+
+
+@query("""
+    WITH i AS (SELECT l_orderkey AS product_id, l_linenumber AS image_id, l_linenumber % 3 AS look, l_quantity::BIGINT AS w FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY product_id, look ORDER BY w DESC, image_id) AS n FROM i)
+    SELECT product_id, count(*) AS images, sum(image_id)::BIGINT AS ids FROM r WHERE n = 1 GROUP BY 1""")
+def greedy_images(t):
+    """Of a product's images the largest first, without those that look like one that was taken."""
+    look = F.get(F.array(F.lit(0).cast("long"), F.lit(0xFF).cast("long"), F.lit(0xFF00FF00).cast("long")), (F.col("l_linenumber") % 3).cast("int"))
+    images = t("lineitem").select(F.col("l_orderkey").alias("product_id"), F.col("l_linenumber").cast("long").alias("image_id"), F.col("l_quantity").cast("long").alias("width"), F.lit(1).cast("long").alias("height"), look.alias("hash"))
+    return listing.greedy_images(images).groupBy("product_id").agg(F.count("*").alias("images"), F.sum("image_id").alias("ids"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_type, CASE WHEN p_partkey % 3 = 0 THEN 'vinho' WHEN p_partkey % 3 = 1 THEN 'vinho sem alcool' ELSE 'suco' END AS said FROM part)
+    SELECT p_partkey, CASE WHEN said = 'vinho' THEN 'alcoholic' ELSE p_type END AS kind, concat_ws(',', CASE WHEN p_partkey % 4 = 0 THEN 'name' END, CASE WHEN p_partkey % 5 = 0 THEN 'url' END, CASE WHEN p_partkey % 7 = 0 THEN 'stock' END) AS errors FROM p""")
+def checked_inputs(t):
+    """The kind that the words of a product enforce, and what is wrong with a request."""
+    p, k = t("part"), F.col("p_partkey")
+    said = F.when(k % 3 == 0, "vinho").when(k % 3 == 1, "vinho sem alcool").otherwise("suco")
+    errors = listing.input_errors(F.when(k % 4 == 0, "ab").otherwise(F.col("p_name")), F.when(k % 5 == 0, "ftp://x").otherwise("http://x"), F.when(k % 7 == 0, F.lit(-1)).otherwise(F.lit(3)))
+    return p.select("p_partkey", plan.enforced_kind(F.col("p_type"), said, r"\bvinho\b", "sem alcool").alias("kind"), F.array_join(errors, ",").alias("errors"))
+
+
 # -- sources -------------------------------------------------------------------------------------------------------------
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .work import materialize
 
 _NAMED = "array<struct<name:string>>"
@@ -28,6 +30,21 @@ def read_snapshot(spark: SparkSession, path: str, record: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*")
 
 
+def loaded(rows: DataFrame) -> DataFrame:
+    """rows with entities decoded and escaped closing tags plain in every text column."""
+    return rows.select(*(tx.decode_entities(F.replace(F.col(c), F.lit("<\\/"), F.lit("</"))).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes))
+
+
+def parquet_tables(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
+    """A reader of the tables of a store that were extracted as parquet, one folder or file for each."""
+    return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def jdbc_tables(spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:
+    """A reader of the tables of a store in a database; columns and filters that a query needs are sent to it."""
+    return lambda name: spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
 def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds one object."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -55,11 +72,16 @@ def write_snapshot(rows: DataFrame, path: str, urls: list[str], captured_at: str
 
     An envelope around all records would have to be written by one task.
     """
-    rows.write.json(f"{path}/data", ignoreNullFields=False)
+    write_json(rows, f"{path}/data")
     written = rows.sparkSession.read.schema(rows.schema).json(f"{path}/data")
     written.agg(F.array(*map(F.lit, urls)).alias("source_urls"), F.lit(captured_at).alias("captured_at"), F.count("*").alias("count")).coalesce(1).write.json(f"{path}/envelope")
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """Lines of JSON with every field, also those without a value; letters stay as they are."""
+    rows.write.json(path, ignoreNullFields=False)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """Lists are joined with '; ' and nulls are empty."""
     cells = [F.array_join(F.col(c).cast("array<string>"), "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes]
