@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import jobs, listing, plan, research, verify
+from ..operators import jobs, listing, plan, research, similarity, verify
 from ..sources import snapshots
 from .catalogue import query
 
@@ -333,3 +333,14 @@ def get_or_create(t):
     known = existing.select("slug", F.col("id").alias("was"))
     both = made.join(known, "slug", "left")
     return both.agg(F.count("*").alias("slugs"), F.countDistinct("id").alias("different"), F.count_if(F.col("id") == F.col("was")).alias("kept"), F.max("id").alias("highest"))
+
+
+# -- scores --------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size % 7 > p_size % 5 THEN (p_size % 7) / 10.0 ELSE (p_size % 5) / 10.0 END::DOUBLE AS score, CASE WHEN p_partkey % 3 = 0 AND p_size % 7 > p_size % 5 THEN 'typed' ELSE 'title' END AS "by" FROM part""")
+def typed_scores(t):
+    """The score by the title, or by the typed name where that is strictly greater."""
+    p = t("part")
+    score = lambda n: ((F.col("p_size") % n) / 10).alias("score")
+    return similarity.typed_or_title(p.select("p_partkey", score(5)), p.where("p_partkey % 3 = 0").select("p_partkey", score(7)), ["p_partkey"])
