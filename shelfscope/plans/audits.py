@@ -21,28 +21,32 @@ ITEMS = """SELECT p_partkey AS id,
         || ' ' || p_size || CASE p_partkey % 4 WHEN 0 THEN 'ml' WHEN 1 THEN ' g' WHEN 2 THEN 'kg' ELSE '' END || CASE WHEN p_partkey % 21 = 0 THEN ' 🍓✨' ELSE '' END AS name,
     replace(p_name, ' ', '-') || CASE p_partkey % 7 WHEN 0 THEN '-2' WHEN 1 THEN '-copia' ELSE '' END AS slug,
     CASE WHEN p_partkey % 10 = 0 THEN ' ' ELSE p_brand || '-' || (p_size % 7) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || p_partkey END END AS sku,
-    CASE WHEN p_partkey % 8 = 0 THEN '' ELSE '<p>Este produto e um ' || p_name || ' muito bom para todos.</p>' || CASE WHEN p_partkey % 3 = 0 THEN '<b>Conservar em local seco e fresco depois de aberto.</b> ' ELSE '' END
+    CASE WHEN p_partkey % 67 = 0 THEN '' ELSE '<p>Este produto e um ' || p_name || ' ' || p_size || ' muito bom para todos.</p>' || CASE WHEN p_partkey % 3 = 0 THEN '<b>Conservar em local seco e fresco depois de aberto.</b> ' ELSE '' END
         || CASE WHEN p_partkey % 5 = 0 THEN '<p>Ingredientes: leite, soja e ' || p_type || ' com muito sabor! Contem gluten e leite em po.</p>' ELSE '' END END AS description,
     CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'Prazo de validade de ' || p_size || ' meses contados da data.' END AS short_description,
     '' || (p_size * 100) AS price, p_partkey % 5 = 0 AS on_sale, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '0.01' ELSE '' || p_size END AS weight,
-    p_partkey % 60 AS image_1, CASE WHEN p_partkey % 9 = 0 THEN p_partkey % 60 ELSE 60 + p_partkey % 40 END AS image_2,
+    p_partkey % 997 AS image_1, CASE WHEN p_partkey % 9 = 0 THEN p_partkey % 997 ELSE 1000 + p_partkey % 991 END AS image_2,
     CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_brand END AS brand, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '1' END AS length, p_partkey % 3 AS cat_1, 3 + p_partkey % 2 AS cat_2, p_size AS stock FROM part"""
 #: Slugs of the categories by id; the name of an image by its id.
 CATEGORIES = ("food-and-drink", "offers", "toys", "offers", "stationery")
-IMAGE_NAMES = ("img_12", "WhatsApp-image-7", "captura-de-tela-1", "cold-widget-front", "br-11134207-7r98o-lqx", "promo-black-friday", "abcdefghij")
+IMAGE_NAMES = ("img_12", "WhatsApp-image-7", "captura-de-tela", "cold-widget-front", "br-11134207-7r98o-lqx", "promo-black-friday", "abcdefghij")
 _CATEGORY_SQL = "CASE {} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END"
-_IMAGE_SQL = f"CASE {{0}} % {len(IMAGE_NAMES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(IMAGE_NAMES)) + " END"
+_IMAGE_SQL = f"CASE {{0}} % {len(IMAGE_NAMES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(IMAGE_NAMES)) + " END || '-' || {0}"
 
 
 def _pick(names: tuple[str, ...], at: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), at.cast("int"))
 
 
+def _image_name(k: Column) -> Column:
+    return F.concat(_pick(IMAGE_NAMES, k % len(IMAGE_NAMES)), F.lit("-"), k.cast("string"))
+
+
 def _products(t: Callable[[str], DataFrame]) -> DataFrame:
     """Listings as the audit reads them."""
     part = t("part")
     items = part.sparkSession.sql(ITEMS.replace("FROM part", "FROM {part}"), part=part)
-    image = lambda c: F.struct(F.col(c).alias("id"), _pick(IMAGE_NAMES, F.col(c) % len(IMAGE_NAMES)).alias("name"), F.lit("http://x/y.PNG").alias("src"), F.when(F.col(c) % 2 == 0, "").otherwise("alt").alias("alt"))
+    image = lambda c: F.struct(F.col(c).alias("id"), _image_name(F.col(c)).alias("name"), F.lit("http://x/y.PNG").alias("src"), F.when(F.col(c) % 2 == 0, "").otherwise("alt").alias("alt"))
     named = lambda c: F.when(F.col(c).isNotNull(), F.array(F.struct(F.col(c).alias("name"))))
     terms = F.array(F.struct(F.lit("Peso").alias("name"), F.lit("").alias("taxonomy"), F.array(F.struct(F.col("weight").alias("name"))).alias("terms")))
     return items.select(
@@ -54,9 +58,9 @@ def _products(t: Callable[[str], DataFrame]) -> DataFrame:
 
 
 def _media(t: Callable[[str], DataFrame]) -> DataFrame:
-    c, k = t("customer").where("c_custkey < 110"), F.col("c_custkey")
+    c, k = t("customer"), F.col("c_custkey")
     kind = F.when(k % 5 == 0, "-2.png").otherwise(".webp")
-    return c.select(k.alias("id"), F.lit("2024-05-06T07:08:09").alias("date"), F.when(k % 4 == 0, F.lit(0)).otherwise(k * 3).cast("long").alias("post"), F.concat(F.lit("http://x/"), _pick(IMAGE_NAMES, k % len(IMAGE_NAMES)), kind).alias("source_url"), F.lit("image/png").alias("mime_type"), F.when(k % 3 == 0, " ").otherwise("a").alias("alt_text"))
+    return c.select(k.alias("id"), F.lit("2024-05-06T07:08:09").alias("date"), F.when(k % 4 == 0, F.lit(0)).otherwise(k * 3).cast("long").alias("post"), F.concat(F.lit("http://x/"), _image_name(k), kind).alias("source_url"), F.lit("image/png").alias("mime_type"), F.when(k % 3 == 0, " ").otherwise("a").alias("alt_text"))
 
 
 def cards(t: Callable[[str], DataFrame]) -> DataFrame:
@@ -83,10 +87,10 @@ _STRIP = "trim(regexp_replace(regexp_replace(coalesce({}, ''), '<[^>]*>', ' ', '
 #: Listings with their folded texts, and everything that is counted over all of them.
 CARDS_SQL = f"""
     WITH items AS ({ITEMS}), texts AS (SELECT *, trim(sku) AS sku_t, {_STRIP.format("description")} AS descr, {_STRIP.format("short_description")} AS short, lower(strip_accents(name)) AS title_f FROM items),
-    media AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey * 3 END AS post FROM customer WHERE c_custkey < 110),
+    media AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey * 3 END AS post FROM customer),
     said AS (SELECT DISTINCT id, lower(strip_accents(trim(s))) AS f FROM (SELECT id, unnest(string_split(regexp_replace(trim(concat_ws(' ', descr, short)), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS s FROM texts) WHERE len(trim(s)) >= 25),
     frequency AS (SELECT f, count(*) AS freq FROM said GROUP BY 1), common AS (SELECT id, avg(CASE WHEN freq >= 3 THEN 1.0 ELSE 0.0 END) AS share, count(*) FILTER (freq >= 3) AS k, count(*) AS n FROM said JOIN frequency USING (f) GROUP BY 1),
-    named AS (SELECT texts.*, common.k, common.n, count(*) OVER (PARTITION BY sku_t) AS same_sku, count(*) OVER (PARTITION BY image_1) AS same_image, count(*) OVER (PARTITION BY lower(strip_accents(descr))) AS same_desc,
+    named AS (SELECT texts.*, (SELECT max(c_custkey) FROM customer) AS top, common.k, common.n, count(*) OVER (PARTITION BY sku_t) AS same_sku, count(*) OVER (PARTITION BY image_1) AS same_image, count(*) OVER (PARTITION BY lower(strip_accents(descr))) AS same_desc,
         sha1(lower(strip_accents(descr))) AS desc_key, {_IMAGE_SQL.format("image_1")} AS name_1, {_IMAGE_SQL.format("image_2")} AS name_2,
         CASE WHEN texts.id % 30 = 0 THEN [] ELSE [{_CATEGORY_SQL.format("cat_1")}, {_CATEGORY_SQL.format("cat_2")}] END AS cats FROM texts LEFT JOIN common USING (id))"""
 _TEXT_F = "lower(strip_accents(concat_ws(' ', descr, short, 'Peso: ' || weight)))"
@@ -122,8 +126,8 @@ def audit_scorecard(t):
 
 
 @query(CARDS_SQL + """
-    SELECT id, array_to_string(list_transform(list_filter(CASE WHEN image_1 = image_2 THEN [image_1] ELSE [image_1, image_2] END, lambda i: CASE WHEN i % 4 = 0 THEN 0 ELSE i * 3 END <> id), lambda i: i::VARCHAR), ',') AS images
-    FROM named WHERE len(list_filter(CASE WHEN image_1 = image_2 THEN [image_1] ELSE [image_1, image_2] END, lambda i: CASE WHEN i % 4 = 0 THEN 0 ELSE i * 3 END <> id)) > 0""")
+    SELECT id, array_to_string(list_transform(list_filter(CASE WHEN image_1 = image_2 THEN [image_1] ELSE [image_1, image_2] END, lambda i: i <= top AND CASE WHEN i % 4 = 0 THEN 0 ELSE i * 3 END <> id), lambda i: i::VARCHAR), ',') AS images
+    FROM named WHERE len(list_filter(CASE WHEN image_1 = image_2 THEN [image_1] ELSE [image_1, image_2] END, lambda i: i <= top AND CASE WHEN i % 4 = 0 THEN 0 ELSE i * 3 END <> id)) > 0""")
 def audit_foreign_images(t):
     """Listings that show images which were uploaded for another post."""
     return cards(t).where(F.size("images_owned_by_other_post") > 0).select("id", F.array_join(F.col("images_owned_by_other_post").cast("array<string>"), ",").alias("images"))
@@ -139,10 +143,10 @@ _PAIRS_SQL = CARDS_SQL + f""", c AS (SELECT id, sku_t AS sku, desc_key, list_dis
     p AS (SELECT *, sim >= 0.5 AND fits AND (either OR sim >= 0.75) AS strong FROM s)"""
 
 
-@query(_PAIRS_SQL + " SELECT a, b, sim AS title_similarity, fits AS variant_compatible, strong AS likely_same_item, shared AS shared_image_files, same_sku, same_desc AS identical_description FROM p WHERE a % 20 = 0 AND (strong OR shared > 0 OR same_sku OR same_desc)")
+@query(_PAIRS_SQL + " SELECT a, b, sim AS title_similarity, fits AS variant_compatible, strong AS likely_same_item, shared AS shared_image_files, same_sku, same_desc AS identical_description FROM p WHERE strong OR shared > 0 OR same_sku OR same_desc")
 def audit_duplicate_pairs(t):
-    """Pairs of listings that share title words, an image file, a SKU or a description; shown are those of each twentieth listing."""
-    pairs = audit.duplicate_pairs(cards(t), STORE).where("a % 20 = 0")
+    """Pairs of listings that share title words, an image file, a SKU or a description."""
+    pairs = audit.duplicate_pairs(cards(t), STORE)
     return pairs.select("a", "b", "title_similarity", "variant_compatible", "likely_same_item", F.size("shared_image_files").cast("long").alias("shared_image_files"), "same_sku", "identical_description")
 
 
@@ -165,7 +169,7 @@ def audit_variant_families(t):
     return found.select("family_key", F.array_join(F.col("product_ids").cast("array<string>"), ",").alias("product_ids"), F.array_join(price, ",").alias("prices"))
 
 
-_TERMS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '' || (c_custkey % 50) || ' ml' ELSE lower(c_mktsegment) || CASE c_custkey % 4 WHEN 0 THEN 's' WHEN 1 THEN '' WHEN 2 THEN ' ' || (c_custkey % 70) ELSE 'x' || c_custkey END END AS name, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS count, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'd' END AS description, CASE WHEN c_custkey = 9 THEN 4 ELSE 0 END AS parent FROM customer WHERE c_custkey < 400"
+_TERMS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '' || (c_custkey % 50) || ' ml' ELSE lower(c_mktsegment) || CASE c_custkey % 4 WHEN 0 THEN 's' WHEN 1 THEN '' WHEN 2 THEN ' ' || (c_custkey % 70) ELSE 'x' || c_custkey END END AS name, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS count, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'd' END AS description, CASE WHEN c_custkey = 9 THEN 4 ELSE 0 END AS parent FROM customer"
 
 
 def _terms(t: Callable[[str], DataFrame]) -> DataFrame:
@@ -199,7 +203,7 @@ def audit_category_overlap(t):
     return audit.category_overlap(cards(t))
 
 
-_MEDIA_ROWS = CARDS_SQL + f""", f AS (SELECT c_custkey AS id, {_IMAGE_SQL.format("c_custkey")} AS bare, CASE WHEN c_custkey % 5 = 0 THEN '-2.png' ELSE '.webp' END AS kind, c_custkey FROM customer WHERE c_custkey < 110),
+_MEDIA_ROWS = CARDS_SQL + f""", f AS (SELECT c_custkey AS id, {_IMAGE_SQL.format("c_custkey")} AS bare, CASE WHEN c_custkey % 5 = 0 THEN '-2.png' ELSE '.webp' END AS kind, c_custkey FROM customer),
     u AS (SELECT DISTINCT image_1 AS mid, id FROM items UNION SELECT image_2, id FROM items), m AS (SELECT mid, count(*) AS users FROM u GROUP BY 1),
     r AS (SELECT f.id, bare || kind AS file, coalesce(users, 0) AS users, {_class_sql("CASE WHEN c_custkey % 5 = 0 THEN bare || '-2' ELSE bare END")} AS name_class, c_custkey % 3 = 0 AS alt_empty, regexp_matches(bare || kind, '-[0-9]+\\.(?:png|jpe?g|webp|gif)$') AS reupload_suffix, c_custkey % 4 = 0 AS loose FROM f LEFT JOIN m ON mid = f.id)"""
 

@@ -92,8 +92,8 @@ def research_relevance(t):
     return research.relevance(p).select("item_id", "score")
 
 
-_LOOKED = "SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN 'b' || (o_orderkey % 40) ELSE '' END AS sku, CASE WHEN o_orderkey % 5 = 0 THEN '789-' || (o_orderkey % 30) END AS gtin, CASE o_orderkey % 4 WHEN 0 THEN 'Cold Widget' WHEN 1 THEN 'gizmo' WHEN 2 THEN 'no such name' ELSE '' END AS name FROM orders WHERE o_orderkey % 10 < 6"
-_STOCKED = "SELECT p_partkey AS id, 'B' || (p_partkey % 90) AS sku, '789' || (p_partkey % 70) AS gtin, p_name AS name FROM part"
+_LOOKED = "SELECT c_custkey AS item_id, CASE WHEN c_custkey % 3 = 0 THEN 'b' || (c_custkey % 4000) ELSE '' END AS sku, CASE WHEN c_custkey % 5 = 0 THEN '789-' || (c_custkey % 3000) END AS gtin, CASE c_custkey % 4 WHEN 0 THEN 'Cold Widget' WHEN 1 THEN 'gizmo red' WHEN 2 THEN 'no such name' ELSE '' END AS name FROM customer"
+_STOCKED = "SELECT p_partkey AS id, 'B' || (p_partkey % 9000) AS sku, '789' || (p_partkey % 7000) AS gtin, p_name AS name FROM part"
 
 
 @query(f"""
@@ -103,7 +103,7 @@ _STOCKED = "SELECT p_partkey AS id, 'B' || (p_partkey % 90) AS sku, '789' || (p_
     SELECT item_id, id, min(tier)::INTEGER AS tier FROM h GROUP BY 1, 2""")
 def lookup_candidates(t):
     """Candidates by SKU, code or all words of the name, each once with its best tier."""
-    return research.lookup_candidates(_view(t, _LOOKED, "orders"), _view(t, _STOCKED, "part"))
+    return research.lookup_candidates(_view(t, _LOOKED, "customer"), _view(t, _STOCKED, "part"))
 
 
 @query("""

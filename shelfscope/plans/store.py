@@ -47,7 +47,7 @@ VIEWS = {
         UNION ALL SELECT p_partkey + 1, '_edit_last', '' || (p_partkey % 37) FROM part WHERE p_partkey % 5 <> 0
         UNION ALL SELECT p_partkey + 1, '_wp_trash_meta_time', '' || (1700000000 + p_partkey) FROM part WHERE p_partkey % 8 = 3
         UNION ALL SELECT 777000000 + p_partkey, '_sku', 'lost' FROM part WHERE p_partkey % 50 = 0""",
-    "wp_users": """SELECT c_custkey AS "ID", c_name AS user_login FROM customer WHERE c_custkey < 35""",
+    "wp_users": """SELECT c_custkey AS "ID", c_name AS user_login FROM customer WHERE c_mktsegment <> 'BUILDING'""",
     "wp_terms": "SELECT c_custkey AS term_id, c_mktsegment || ' ' || c_custkey AS name FROM customer",
     "wp_term_taxonomy": "SELECT 5000 + c_custkey AS term_taxonomy_id, c_custkey AS term_id, CASE c_custkey % 4 WHEN 0 THEN 'product_cat' WHEN 1 THEN 'product_tag' WHEN 2 THEN 'product_brand' ELSE 'nav_menu' END AS taxonomy, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 2 END AS count FROM customer",
     "wp_term_relationships": "SELECT CASE WHEN l_orderkey % 31 = 0 THEN 999000000 ELSE l_partkey + 1 END AS object_id, 5000 + l_orderkey % 200 AS term_taxonomy_id FROM lineitem WHERE l_linenumber = 1",
