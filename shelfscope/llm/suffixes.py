@@ -217,11 +217,14 @@ class SuffixIndexFamily:
             same = same.unionByName(old.select(*ENTRY)).distinct()
             # one that stood alone is a repeat now; of several each has become one before
             there = [old.where("n_old = 1").select("old.t", "old.at")]
+        # written first: a join of two plain shuffles can be split where a stretch stands in very many texts
+        same = materialize(same, "repeated-entries")
         here = entries.join(same, ENTRY).select("t", "at")
         self.repeats.append(materialize(reduce(DataFrame.unionByName, [here, *there]), "repeats"))
         self.levels.append((1, new))
         self.texts.append(texts)
         drop_table(entries)
+        drop_table(same)
         if self.levels[:-1]:
             drop_table(old)
         self.save()
