@@ -98,7 +98,10 @@ FALSE_ALARMS = 0.01
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
+    """Words in lower case. The name of one licence is a common word of German where it is written small; it is read as "with"
+    there, unless a licence is what follows."""
+    plain = F.regexp_replace(text, r"(?<![\p{L}\p{N}])[mM]it(?![\p{L}\p{N}])(?![^\p{L}\p{N}]+[lL]icen[sc])", "with")
+    return F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
 
 
 def grams(w: Column, n: int) -> Column:
@@ -247,7 +250,8 @@ def _nothing() -> Column:
 
 
 def _plain_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
+    plain = re.sub(r"(?<![^\W_])[mM]it(?![^\W_])(?![\W_]+[lL]icen[sc])", "with", text)
+    return re.findall(r"[^\W_]+(?:\.[0-9]+)*", plain.lower())
 
 
 def train(spark: SparkSession) -> LicenseClassifier:

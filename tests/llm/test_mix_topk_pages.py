@@ -154,10 +154,10 @@ LICENSED = [
     ("long " * 3000 + "Licensed under the Apache License, Version 2.0" + " more" * 300, {"apache"}, {"apache"}), ("This is free: " + AGPL + ".", {"agpl"}, {"agpl"}), ("licensed under the GNU Lesser General Public License version 3", {"lgpl"}, {"lgpl"}), (AGPL.replace("Affero ", ""), {"gpl"}, {"gpl"}),
     ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", {"cc-by-nc"}, {"cc-by-nc"}), ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa"}, {"cc-by-sa"}),
     ("Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software", {"mit"}, {"mit"}), ("available under the GNU GPL version 2 or later", {"gpl"}, {"gpl"}), ("Released under the MIT License, or licensed under the Apache License, Version 2.0", {"mit", "apache"}, {"mit", "apache"}),
-    ("Distributed under GPLv3", {"gpl"}, set()), ("This program is GPL v2 or later", {"gpl"}, set()), ("SPDX: Apache-2.0", {"apache"}, set()), ("ISC license", {"isc"}, set()), ("MIT or Apache-2.0", {"mit", "apache"}, set()),
+    ("Distributed under GPLv3", {"gpl"}, set()), ("This program is GPL v2 or later", {"gpl"}, set()), ("SPDX: Apache-2.0", {"apache"}, set()), ("ISC license", {"isc"}, set()), ("under the mit license", {"mit"}, set()), ("SPDX: MIT", {"mit"}, set()), ("MIT or Apache-2.0", {"mit", "apache"}, set()),
     ("Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met", {"bsd"}, {"bsd"}), ("licensed under the Quux Public Software License 7", {"unknown"}, set()),
 ]
-FREE = ["", "the warranty is void", "permission to land was granted to the pilot", "she lost her driving license in may", "students of MIT released a report about the public", "word " * 400]
+FREE = ["", "the warranty is void", "permission to land was granted to the pilot", "she lost her driving license in may", "students of MIT released a report about the public", "word " * 400, "das Haus mit dem Garten. Mit Freude und mit Lust", "com o mit-\nund ohne licht mit"]
 
 
 def test_licences(spark, classifier):
