@@ -285,8 +285,9 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("key") == F.col("first.key"))
     rows = materialize(judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.max(first).alias("__stays"), (F.count("*") > 1).alias("__many")), "judged")
     same = (F.col("__key") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    # one join decides about all rows; what it keeps is written, as rows that are repeated are read apart from it
+    # only rows that go or are repeated are joined; the same kind of join at every size, whose shuffle both readings below share
+    rows = rows.where("NOT __stays OR __many").hint("merge")
     kept = docs.withColumn("__key", text_key(text_col)).join(rows, same, "left").where(F.coalesce("__stays", F.lit(True)))
-    kept = materialize(kept.withColumn("__several", F.coalesce(F.col("__stays") & F.col("__many"), F.lit(False))).select(*docs.columns, "__several"), "kept")
-    repeated = kept.where("__several").dropDuplicates([id_col, text_col])
-    return kept.where("NOT __several").unionByName(repeated).drop("__several")
+    several = F.coalesce("__many", F.lit(False))
+    repeated = kept.where(several).select(*docs.columns).dropDuplicates([id_col, text_col])
+    return kept.where(~several).select(*docs.columns).unionByName(repeated)
