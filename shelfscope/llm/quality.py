@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import slices
@@ -20,10 +20,10 @@ from .shared import slices
 CHUNK, OVERLAP, WIDTH, STEP = 512, 64, 8, 2
 FILTERS, EMBED, HIDDEN = 32, 8, 16
 PAD = 256
-#: Labelled rows of each class that training sees at most, and bytes of all their texts together.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 24_000_000
-#: Chunks that are convolved at once, when texts are scored and in training.
-_BATCH, _STEP_CHUNKS = 512, 32
+#: Labelled rows of each class that training sees at most, with their whole texts.
+SAMPLE_PER_CLASS = 1500
+#: Chunks that are convolved at once, when texts are scored and in training, and those whose gradients are made at once.
+_BATCH, _STEP_CHUNKS, _BACK = 512, 32, 1024
 
 
 def chunks_of(text: str) -> np.ndarray:
@@ -36,6 +36,13 @@ def chunks_of(text: str) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (n, CHUNK), (hop * 2, 2))
 
 
+def first_of(won: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of the chunks of a document that reach its maximum the first alone, for each filter. Chunks overlap, so one window may win twice."""
+    seen = np.cumsum(won, axis=0)
+    starts = np.searchsorted(doc, doc)
+    return won & (seen - (seen - won)[starts] == 1)
+
+
 class ByteNet:
     """Embedding of bytes, filters with max-pooling over a chunk, mean and maximum over chunks, a hidden layer, a probability."""
 
@@ -122,14 +129,15 @@ class ByteNet:
         du = dl[:, None] * p["out"] * (u > 0)
         dv = du @ p["mix"].T
         dmean, dmost = dv[:, :FILTERS] / counts, dv[:, FILTERS:]
-        won = h == most[doc]
-        dh = (dmean[doc] + dmost[doc] * won) * (h > 0)
-        x = self.windows(chunks)[np.arange(len(chunks))[:, None], at]  # chunks x filters x bytes
-        e = p["embed"][x].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-        dconv = np.einsum("cf,cfk->kf", dh, e)
-        de = (dh[:, :, None] * p["conv"].T[None]).reshape(-1, EMBED)
-        flat = x.reshape(-1)
-        dembed = np.stack([np.bincount(flat, weights=de[:, j], minlength=PAD + 1) for j in range(EMBED)], axis=1).astype(np.float32)
+        dh = (dmean[doc] + dmost[doc] * first_of(h == most[doc], doc)) * (h > 0)
+        dconv, dembed = np.zeros_like(p["conv"]), np.zeros_like(p["embed"])
+        for i in range(0, len(chunks), _BACK):  # a bounded part of a long text at once
+            part, d = chunks[i : i + _BACK], dh[i : i + _BACK]
+            x = self.windows(part)[np.arange(len(part))[:, None], at[i : i + _BACK]]  # chunks x filters x bytes
+            dconv += np.einsum("cf,cfk->kf", d, p["embed"][x].reshape(len(part), FILTERS, WIDTH * EMBED))
+            de = (d[:, :, None] * p["conv"].T[None]).reshape(-1, EMBED)
+            flat = x.reshape(-1)
+            dembed += np.stack([np.bincount(flat, weights=de[:, j], minlength=PAD + 1) for j in range(EMBED)], axis=1)
         dembed[PAD] = 0
         return float(loss), {"embed": dembed, "conv": dconv, "bias": dh.sum(0), "mix": v.T @ du, "mix_bias": du.sum(0), "out": u.T @ dl, "out_bias": dl.sum(keepdims=True)}
 
@@ -160,12 +168,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> ByteNet:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> ByteNet:
     """A network fitted on the labelled rows that are not held out.
 
-    Of each class the per_class ids with the smallest hash are used (fewer, if docs lacks some of them), with their whole texts, in
-    the order of the hash as far as their texts together hold at most most_bytes bytes; that is what the driver holds, whatever the
-    size of the tables. Labels other than 0 and 1, null ids and repeated ids beyond the first are left out; null texts are empty.
+    Of each class the per_class ids with the smallest hash are used (fewer, if docs lacks some of them), with their whole texts: the
+    driver holds 2 * per_class texts, whatever the size of the tables. Labels other than 0 and 1, null ids and repeated ids beyond the first are left out; null texts are empty.
     Without any labelled row the network stays untrained.
     """
     order = F.xxhash64("__id")
@@ -174,9 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = drawn[0].unionByName(drawn[1]).groupBy("__id").agg(F.min("__label").alias("__label"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     rows = rows.groupBy("__id", "__label").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
-    # 2 * per_class rows at most
-    so_far = F.sum(F.octet_length("__text")).over(Window.orderBy(order, "__id"))
-    got = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("__id", "__label", "__text").toPandas().sort_values("__id")
+    got = rows.toPandas().sort_values("__id")
     net = ByteNet()
     if len(got):
         net.fit([chunks_of(t) for t in got["__text"]], got["__label"].to_numpy())

@@ -185,22 +185,29 @@ def test_benchmark_hits(spark):
     assert {r.doc_id for r in decontaminate.without_benchmark(docs, table).collect()} == {i for i in range(20) if i % 2 == 0} | {20, 21, 23}
 
 
-def test_gradients_agree_with_differences():
-    net = quality.ByteNet()
+@pytest.mark.parametrize("seed", range(6))
+def test_gradients_agree_with_differences(seed):
+    net, r = quality.ByteNet(seed), random.Random(seed)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    cut = [quality.chunks_of(prose(n)) for n in (90, 200, 3)]
-    doc = np.repeat(np.arange(3), [len(c) for c in cut])
-    chunks, labels = np.concatenate(cut), np.array([0.0, 1.0, 1.0])
+    # the last text repeats its words, so chunks tie for a maximum
+    cut = [quality.chunks_of(" ".join(r.choices(WORDS, k=n))) for n in (90, 200, 3)] + [quality.chunks_of("one two three " * 200)]
+    doc = np.repeat(np.arange(4), [len(c) for c in cut])
+    chunks, labels = np.concatenate(cut), np.array([0.0, 1.0, 1.0, 0.0])
     _, g = net.gradients(chunks, doc, labels)
     for k in ("conv", "bias", "mix", "mix_bias", "out", "out_bias"):
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         before = net.p[k][at]
-        net.p[k][at] = before + 1e-5
+        net.p[k][at] = before + 1e-6
         up = net.gradients(chunks, doc, labels)[0]
-        net.p[k][at] = before - 1e-5
+        net.p[k][at] = before - 1e-6
         down = net.gradients(chunks, doc, labels)[0]
         net.p[k][at] = before
-        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-3 * max(1, abs(g[k][at]))
+        assert abs((up - down) / 2e-6 - g[k][at]) < 1e-3 * max(0.1, abs(g[k][at]))
+
+
+def test_the_first_of_tied_chunks_wins():
+    won = np.array([[True, False], [True, True], [True, True], [False, True]])
+    assert quality.first_of(won, np.array([0, 0, 1, 1])).tolist() == [[True, False], [False, True], [True, True], [False, False]]
 
 
 def test_quality_on_rows_it_has_not_seen(spark):

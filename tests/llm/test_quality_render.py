@@ -53,8 +53,11 @@ def test_training_uses_whole_texts_within_its_bounds(spark):
     net = quality.train(docs, labels)
     s = net.score(["good words of prose " * 50, "#!% buy 77 now " * 50])
     assert s[0] > 0.5 > s[1]
-    small = quality.train(docs, labels, most_bytes=10)
-    assert np.allclose(small.p["conv"], quality.ByteNet().p["conv"])
+    # one very long text doesn't keep the others out of the sample
+    long_ = docs.unionByName(spark.createDataFrame([(300, "good words of prose " * 60_000, "c")], docs.schema))
+    with_long = quality.train(long_, labels.unionByName(spark.createDataFrame([(300, 1, 0)], labels.schema)), per_class=200)
+    s = with_long.score(["good words of prose " * 50, "#!% buy 77 now " * 50])
+    assert s[0] > 0.5 > s[1]
     report = quality.quality_report(docs, labels)
     assert report.count() == docs.count() and report.columns == ["doc_id", "held_out", "score", "predicted"]
     assert quality.quality_report(docs.limit(0), labels).count() == 0 and quality.quality_report(docs, labels.limit(0)).count() == docs.count()
