@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..operators import audit, plan, similarity
 from ..operators.components import connected_components
 from ..operators.jobs import admitted
+from ..operators.passages import passage_hits
 from ..sources.work import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,26 +306,13 @@ def taxonomy_pairs(t):
 
 
 @query("""
-    WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+    WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text))
     SELECT b.item_id, count(h.doc_id) AS n_docs, coalesce(string_agg(h.doc_id::VARCHAR, ', ' ORDER BY h.doc_id), '') AS doc_ids
     FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY 1""")
 def media_usage(t):
-    """Which documents hold a passage: candidates share four words in a row, then the whole passage is looked for."""
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    items = t("benchmark").select("item_id", F.col("text").alias("passage"), split("text").alias("w"))
-    # the words inside a passage stand in a text as they are; the first and the last may be parts of longer ones
-    inner = items.where(F.size("w") >= 6).select("item_id", "passage", F.array_join(F.slice("w", 2, 4), " ").alias("gram"))
-    docs = t("documents").select("doc_id", "text")
-    words = split("text")
-    runs = F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " "))).otherwise(F.array().cast("array<string>"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("gram"))
-    candidates = grams.join(inner, "gram").select("doc_id", "item_id", "passage").distinct()
-    long_ = candidates.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    # passages of a few words are gathered in one row (they are the short items of a test set) and looked for in the pass over the texts
-    few = items.where(F.size("w") < 6).agg(F.collect_list(F.struct("item_id", "passage")).alias("few"))
-    held = docs.join(F.broadcast(few)).select("doc_id", F.explode(F.filter("few", lambda x: F.contains("text", x["passage"]))).alias("x"))
-    short = held.select("x.item_id", "doc_id")
-    hits = long_.unionByName(short).groupBy("item_id").agg(F.count("*").alias("n_docs"), _listed(F.col("doc_id")).alias("doc_ids"))
+    """Which documents hold a passage, word for word."""
+    items = t("benchmark").select("item_id", "text")
+    hits = passage_hits(t("documents").select("doc_id", "text"), items).groupBy("item_id").agg(F.count("*").alias("n_docs"), _listed(F.col("doc_id")).alias("doc_ids"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("doc_ids", F.lit("")).alias("doc_ids"))
 
 
