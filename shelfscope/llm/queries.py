@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, near_dup, pii, quality, render, suffixes, tokens, topk
+from . import decontaminate, licenses, mixing, near_dup, negatives, pii, quality, render, suffixes, tokens, topk
 from .shared import table
 
 
@@ -50,6 +50,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=7)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES = {
         op8_personal_data,
         op9_repeated_passages,
         op10_quality,
+        op11_hard_negatives,
     )
 }
 
@@ -119,4 +124,23 @@ ORACLES = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
     """,
+    "op11_hard_negatives": """
+        WITH points AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                   list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM points a JOIN points c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, row_number() OVER best::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+        FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+            AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+        WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER best <= 3
+    """,
 }
