@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, near_dup, negatives, pii, quality, render, suffixes, tokens, topk
+from . import decontaminate, licenses, mixing, near_dup, negatives, pieces, pii, quality, render, suffixes, tokens, topk, whitening
 from .shared import table
 
 
@@ -54,6 +54,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=7)
 
 
+def op12_piece_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +78,8 @@ QUERIES = {
         op9_repeated_passages,
         op10_quality,
         op11_hard_negatives,
+        op12_piece_digest,
+        op13_whitened_embeddings,
     )
 }
 
