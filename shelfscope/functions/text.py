@@ -206,10 +206,10 @@ def measures(folded: Column) -> Column:
 
 
 def same_measure(a: Column, b: Column) -> Column:
-    """same, different or unknown: the first two measures of one unit decide, 3 % apart is the same."""
+    """same, different or unknown: the first two measures of one unit decide, 3 % apart is the same; nothing is the same as 0."""
     pairs = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["unit"] == x["unit"]), lambda y: F.struct(x["value"].alias("x"), y["value"].alias("y")))))
     first = F.get(pairs, F.lit(0))
-    apart = F.abs(first["x"] - first["y"]) / F.greatest(first["x"], first["y"])
+    apart = F.try_divide(F.abs(first["x"] - first["y"]), F.greatest(first["x"], first["y"]))
     return F.when(F.size(pairs) == 0, "unknown").when(apart <= 0.03, "same").otherwise("different")
 
 

@@ -1,3 +1,3 @@
 """Queries over the test tables; importing the package registers all of them."""
 
-from . import audits, catalogue, listings, store  # noqa: F401
+from . import audits, catalogue, duplicates, listings, store  # noqa: F401
