@@ -118,8 +118,28 @@ class PieceModel:
         self.adjacent = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.free = own == [] and SPACE in self.ids  # parts don't act on each other
         self.words = self.free and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-        self.held = 0
+        self._forget()
+        self._table()
+
+    def _table(self) -> None:
+        """All pairs of symbols that make a piece, as sorted arrays: what they make, and its place among all scores (0 is the best)."""
+        symbols = dict(self.ids)
+        for c in chain.from_iterable(self.ids):
+            symbols.setdefault(c, len(self.names) + len(symbols))
+        self.width = 2 * (len(self.names) + len(symbols)) + 1
+        self.of_point = np.full(0x110000, self.width - 1)  # a symbol that no pair has
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = i
+        place = {score: k for k, score in enumerate(sorted(set(self.scores), reverse=True))}
+        rows = [
+            (symbols[p[:k]] * self.width + symbols[p[k:]], place[self.scores[i]], i)
+            for p, i in self.ids.items()
+            for k in range(1, len(p))
+            if p[:k] in symbols and p[k:] in symbols
+        ]
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
+        self.pair_keys, self.pair_places, self.pair_made = np.append(table[:, 0], np.iinfo(np.int64).max), np.append(table[:, 1], 0), np.append(table[:, 2], 0)
 
     # -- normalisation ---------------------------------------------------------------------------------------------------------
 
@@ -272,29 +292,112 @@ class PieceModel:
             out.append(part[at:])
         return out
 
-    def _of(self, part: str) -> tuple[list[int], list[int]]:
-        found = self.known.get(part)
-        if found is None:
-            found = self._part(part)
-            if len(part) <= LONGEST:
-                if self.held > REMEMBERED:
-                    self.known.clear()
-                    self.held = 0
-                self.known[part] = found
-                self.held += len(part)
-        return found
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the piece that each pair makes (_NONE if it makes none), and the piece."""
+        key = left * self.width + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_places[at], _NONE), self.pair_made[at]
+
+    def _forget(self) -> None:
+        """The memory: of each known part its place in two long arrays, of ids and of sizes."""
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.begin, self.count, self.pool_ids, self.pool_sizes = (np.zeros(0, dtype=np.int64) for _ in range(4))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the pieces of these parts."""
+        alone = not self.free or bool(self.unused)
+        short = [] if alone else [p for p in parts if len(p) <= LONGEST]
+        rest = parts if alone else [p for p in parts if len(p) > LONGEST]
+        counts, ids, sizes = self._merge_together(short)
+        each = [self._part(p) for p in rest]
+        counts = np.concatenate([counts, [len(x[0]) for x in each]]).astype(np.int64)
+        begin = len(self.pool_ids) + np.cumsum(counts) - counts
+        self.pool_ids = np.concatenate([self.pool_ids, ids, *(x[0] for x in each)]).astype(np.int32)
+        self.pool_sizes = np.concatenate([self.pool_sizes, sizes, *(x[1] for x in each)]).astype(np.int32)
+        self.known.update(zip(short + rest, range(len(self.begin), len(self.begin) + len(counts)), strict=True))
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, counts])
+        self.held += sum(map(len, parts))
+
+    def _merge_together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of each part, ids, sizes), as _part, for all parts as one ragged array of symbols: in each round every part merges
+        its best pair, the left one of equal ones."""
+        whole = "".join(parts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        sym, size = self.of_point[points], 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
+        part = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        at_byte = np.cumsum(size) - size
+        place, made = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
+        inside = np.flatnonzero(part[:-1] == part[1:])
+        place[inside], made[inside] = self._pairs(sym[inside], sym[inside + 1])
+        done = [(part[:0], sym[:0], size[:0], at_byte[:0])]
+        while len(sym):
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            best = np.minimum.reduceat(place << 32 | np.arange(len(sym)), starts)
+            going = best >> 32 != _NONE
+            keep = np.repeat(going, np.diff(np.append(starts, len(sym))))
+            if not going.all():
+                done.append((part[~keep], sym[~keep], size[~keep], at_byte[~keep]))
+            at = best[going] & 0xFFFFFFFF
+            sym[at] = made[at]
+            size[at] += size[at + 1]
+            keep[at + 1] = False
+            at = np.cumsum(keep)[at] - 1  # where the merged symbols are once the others have gone
+            sym, size, part, at_byte, place, made = (x[keep] for x in (sym, size, part, at_byte, place, made))
+            place[at] = _NONE
+            left = np.concatenate([at[at > 0] - 1, at])
+            left = left[left + 1 < len(sym)]
+            left = left[part[left] == part[left + 1]]
+            place[left], made[left] = self._pairs(sym[left], sym[left + 1])
+        part, sym, size, at_byte = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(part, kind="stable")
+        part, sym, size, at_byte = part[order], sym[order], size[order], at_byte[order]
+        odd = sym >= len(self.names)  # characters that are no piece
+        if odd.any():
+            if self.byte_fallback:
+                raw = np.frombuffer(whole.encode(), np.uint8)
+                times = np.where(odd, size, 1)
+                last = np.cumsum(times) - 1
+                first = np.repeat(last - times + 1, times)
+                byte = np.repeat(at_byte, times) + np.arange(len(first)) - first
+                spread = np.repeat(odd, times)
+                ids = np.repeat(sym, times)
+                ids[spread] = np.array(self.byte_ids)[raw[byte[spread]]]
+                sizes = np.zeros(len(first), dtype=np.int64)
+                sizes[last] = size
+                part, sym, size = np.repeat(part, times), ids, sizes
+            else:
+                sym = np.where(odd, self.unknown, sym)
+        return np.bincount(part, minlength=len(parts)), sym, size
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends): the pieces of a text and the bytes of its UTF-8 form that each stands for."""
-        norm, source = self.normalize(text)
-        found = [self._of(p) for p in self._cut(norm)]
-        ids = np.fromiter(chain.from_iterable(f[0] for f in found), np.int32)
-        ends = np.cumsum(np.fromiter(chain.from_iterable(f[1] for f in found), np.int64))
-        if not self.byte_fallback and len(ids) > 1:  # runs of unknown characters reach across parts
-            last = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
-            ids, ends = ids[last], ends[last]
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        return ids, source[starts].astype(np.int32), source[ends].astype(np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each text; parts that are new to the memory are merged together."""
+        normal = [self.normalize(t) for t in texts]
+        cut = [self._cut(norm) for norm, _ in normal]
+        if self.held > REMEMBERED:
+            self._forget()
+        self._learn(list(set(chain.from_iterable(cut)).difference(self.known)))
+        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
+        known = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, per_text.sum())
+        counts = self.count[known]
+        upto = np.cumsum(counts)
+        at = np.repeat(self.begin[known] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)
+        all_ids, all_ends = self.pool_ids[at], np.cumsum(self.pool_sizes[at], dtype=np.int64)
+        bounds = np.append(0, np.append(0, upto)[np.cumsum(per_text)]).tolist()
+        out, base = [], 0
+        for (_, source), begin, end in zip(normal, bounds[:-1], bounds[1:], strict=True):
+            ids, ends = all_ids[begin:end], all_ends[begin:end] - base
+            base = int(all_ends[end - 1]) if end else 0
+            if not self.byte_fallback and len(ids) > 1:  # a run of unknown characters is one piece
+                last = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
+                ids, ends = ids[last], ends[last]
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            out.append((ids, source[starts].astype(np.int32), source[ends].astype(np.int32)))
+        return out
 
     # -- decoding --------------------------------------------------------------------------------------------------------------
 
@@ -333,6 +436,9 @@ class PieceModel:
         return "".join(out)
 
 
+_NONE = 2**30  # above every place, and its product with 2**32 is a long
+
+
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -375,7 +481,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text_col: str = "text", out_co
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = model_of(content.value)
         for texts in in_pieces(batches):
-            rows = [pieces.encode(t or "") for t in texts]
+            rows = pieces.encode_all([t or "" for t in texts])
             yield pd.DataFrame({"ids": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "decoded": [pieces.decode(r[0].tolist()) for r in rows]})
 
     return docs.withColumn(out_col, encoded(F.col(text_col)))
