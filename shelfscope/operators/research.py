@@ -95,19 +95,55 @@ def retrieved_candidates(hits: DataFrame) -> DataFrame:
     return hits.groupBy("item_id", "id").agg(F.min("tier").alias("tier"))
 
 
+#: Characters of a gram, and the share of all names above which a gram is frequent (at least GRAM_FLOOR names).
+GRAM, GRAM_SHARE, GRAM_FLOOR = 3, 0.01, 50
+
+
+def _grams(text: Column) -> Column:
+    """The different runs of GRAM characters of a text; none of a shorter one."""
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda k: F.substr(text, k, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def names_with_words(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, nid): names (nid, name) that hold every word of a query (qid, words) as a part; words have GRAM characters or more.
+
+    A query meets names at the rarest gram of all its words. Where even that is frequent, it meets those that hold its two rarest
+    grams, of which the names keep pairs of frequent ones only; so a frequent gram is a key alone only for a query that has no
+    other, whose result is all names with it. Queries without words find nothing.
+    """
+    each = names.select("nid", F.explode(_grams(F.col("name"))).alias("gram"))
+    counts = each.groupBy("gram").agg(F.count("*").alias("f"))
+    bound = names.agg(F.greatest(F.count("*") * GRAM_SHARE, F.lit(float(GRAM_FLOOR))).alias("most"))
+    known = counts.join(F.broadcast(bound)).select("gram", "f", (F.col("f") > F.col("most")).alias("frequent"))
+
+    asked = queries.where(F.size("words") > 0).select("qid", F.explode(F.array_distinct(F.flatten(F.transform("words", _grams)))).alias("gram"))
+    ranked = asked.join(known, "gram", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram", F.coalesce("frequent", F.lit(False)).alias("frequent")))).alias("g"))
+    first, second = F.get("g", F.lit(0)), F.get("g", F.lit(1))
+    both = F.concat_ws("\n", F.least(first["gram"], second["gram"]), F.greatest(first["gram"], second["gram"]))
+    keys = ranked.where(first["f"] > 0).select("qid", F.when(first["frequent"] & second.isNotNull(), both).otherwise(first["gram"]).alias("key"))
+
+    often = each.join(known.where("frequent"), "gram").groupBy("nid").agg(F.array_sort(F.collect_list("gram")).alias("g"))
+    pairs = F.flatten(F.transform("g", lambda a, i: F.transform(F.slice("g", i + 2, F.greatest(F.size("g") - i - 1, F.lit(0))), lambda b: F.concat_ws("\n", a, b))))
+    entries = each.withColumnRenamed("gram", "key").unionByName(often.select("nid", F.explode(pairs).alias("key")))
+    met = keys.join(entries, "key").select("qid", "nid")
+    found = met.join(queries.select("qid", "words"), "qid").join(names, "nid").where(F.forall("words", lambda w: F.contains("name", w)))
+    return found.select("qid", "nid")
+
+
 def lookup_candidates(items: DataFrame, catalogue: DataFrame, fold=tx.fold_latin) -> DataFrame:
-    """(item_id, id, tier): equal SKU (0), equal code (1), all words of the name in the catalogue name (2).
+    """(item_id, id, tier): equal code (0), equal SKU (1), all words of the name in the catalogue name (2), the best tier of each.
 
-    Names meet on their words: a candidate must hold every word of three letters or more as a part of its name, and shares the
-    longest one as a whole word or a part of one. items: item_id, sku, gtin, name; catalogue: id, sku, gtin, name.
+    Words are what stands between white space; those of three characters or more have to be parts of the name, and a name without
+    such words finds nothing. Equal names are looked for and looked at once. items: item_id, sku, gtin, name; catalogue: id, sku,
+    gtin, name.
     """
     digits = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", "")
     c = catalogue.select("id", F.upper(F.coalesce("sku", F.lit(""))).alias("c_sku"), digits(F.col("gtin")).alias("c_gtin"), fold(F.coalesce("name", F.lit(""))).alias("c_name"))
-    i = items.select("item_id", F.upper(F.coalesce("sku", F.lit(""))).alias("sku"), digits(F.col("gtin")).alias("gtin"), F.filter(F.split(fold(F.coalesce("name", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2).alias("words"))
-    by_sku = i.where("sku <> ''").join(c, F.col("sku") == F.col("c_sku")).select("item_id", "id", F.lit(0).alias("tier"))
-    by_code = i.where("gtin <> ''").join(c, F.col("gtin") == F.col("c_gtin")).select("item_id", "id", F.lit(1).alias("tier"))
-    # every three letters of the catalogue name, met by the first three letters of the longest word
-    letters = c.select("id", "c_name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("c_name") - 2, F.lit(1))), lambda k: F.substr("c_name", k, F.lit(3))))).alias("gram"))
-    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    by_name = i.where(F.size("words") > 0).withColumn("gram", F.substring(longest, 1, 3)).join(letters, "gram").where(F.forall("words", lambda w: F.contains("c_name", w)))
-    return retrieved_candidates(by_sku.unionByName(by_code).unionByName(by_name.select("item_id", "id", F.lit(2).alias("tier"))))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(fold(F.coalesce("name", F.lit(""))), r"\s+"), lambda w: F.length(w) >= GRAM)))
+    i = items.select("item_id", F.upper(F.coalesce("sku", F.lit(""))).alias("sku"), digits(F.col("gtin")).alias("gtin"), words.alias("words"))
+    by_code = i.where("gtin <> ''").join(c, F.col("gtin") == F.col("c_gtin")).select("item_id", "id", F.lit(0).alias("tier"))
+    by_sku = i.where("sku <> ''").join(c, F.col("sku") == F.col("c_sku")).select("item_id", "id", F.lit(1).alias("tier"))
+    queries = i.where(F.size("words") > 0).select(F.col("words").alias("qid"), "words").distinct()
+    found = names_with_words(queries, c.select(F.col("c_name").alias("nid"), F.col("c_name").alias("name")).distinct())
+    by_name = i.join(found, i["words"] == found["qid"]).join(c.select("id", "c_name"), F.col("nid") == F.col("c_name")).select("item_id", "id", F.lit(2).alias("tier"))
+    return retrieved_candidates(by_code.unionByName(by_sku).unionByName(by_name))

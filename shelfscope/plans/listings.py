@@ -97,12 +97,12 @@ _STOCKED = "SELECT p_partkey AS id, 'B' || (p_partkey % 9000) AS sku, '789' || (
 
 
 @query(f"""
-    WITH i AS ({_LOOKED}), c AS ({_STOCKED}), h AS (SELECT item_id, id, 0 AS tier FROM i JOIN c ON i.sku <> '' AND upper(i.sku) = upper(c.sku)
-        UNION ALL SELECT item_id, id, 1 FROM i JOIN c ON replace(i.gtin, '-', '') = c.gtin
+    WITH i AS ({_LOOKED}), c AS ({_STOCKED}), h AS (SELECT item_id, id, 1 AS tier FROM i JOIN c ON i.sku <> '' AND upper(i.sku) = upper(c.sku)
+        UNION ALL SELECT item_id, id, 0 FROM i JOIN c ON replace(i.gtin, '-', '') = c.gtin
         UNION ALL SELECT item_id, id, 2 FROM i JOIN c ON i.name <> '' AND len(list_filter(string_split(lower(i.name), ' '), lambda w: len(w) > 2 AND NOT contains(lower(c.name), w))) = 0)
     SELECT item_id, id, min(tier)::INTEGER AS tier FROM h GROUP BY 1, 2""")
 def lookup_candidates(t):
-    """Candidates by SKU, code or all words of the name, each once with its best tier."""
+    """Candidates by code, SKU or all words of the name, each once with its best tier."""
     return research.lookup_candidates(_view(t, _LOOKED, "customer"), _view(t, _STOCKED, "part"))
 
 
@@ -239,6 +239,17 @@ def superseded_jobs(t):
     return jobs.superseded(j, o.select(k.alias("id"), F.col("o_custkey").alias("product_id"), ((k % 10) / 10).alias("score")))
 
 
+@query("""
+    WITH j AS (SELECT o_orderkey AS id, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN 'ready' ELSE 'done' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'S' || (o_custkey % 50) || o_orderpriority END AS sku, o_custkey AS product_id, (o_orderkey % 10) / 10.0 AS score FROM orders),
+    p AS (SELECT a.id AS old, b.id AS new, b.created_at FROM j a JOIN j b ON a.created_at < b.created_at AND a.status = 'ready' AND a.id <> b.id AND ((a.sku <> '' AND a.sku = b.sku) OR (a.product_id = b.product_id AND a.score >= 0.8 AND b.score >= 0.8)))
+    SELECT old, arg_max(new, (created_at, new)) AS new FROM p GROUP BY 1""")
+def replaced_jobs(t):
+    """The newest job that replaces each ready one."""
+    o, k = t("orders"), F.col("o_orderkey")
+    j = o.select(k.alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("done").alias("status"), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("S"), F.col("o_custkey") % 50, "o_orderpriority")).alias("sku"))
+    return jobs.replaced_by(j, o.select(k.alias("id"), F.col("o_custkey").alias("product_id"), ((k % 10) / 10).alias("score")))
+
+
 @query("""SELECT user_id AS job_id, event_type AS provider, 'x' AS operation, count(*) AS calls, sum(event_id % 100)::BIGINT AS tokens_in, 0::BIGINT AS tokens_out FROM events GROUP BY 1, 2""")
 def usage_totals(t):
     """What a log of calls adds up to for each job, provider and operation."""

@@ -71,4 +71,19 @@ def test_candidate_lookup(spark):
     items = spark.createDataFrame([(1, "ab-1", None, "soju morango"), (2, "", "88-01", "x")], "item_id int, sku string, gtin string, name string")
     catalogue = spark.createDataFrame([(10, "AB-1", "", "outro"), (11, "", "8801", "Soju de Morango 360ml"), (12, "", None, "Soju Uva")], "id int, sku string, gtin string, name string")
     got = research.lookup_candidates(items, catalogue, tx.fold_latin)
-    assert sorted(map(tuple, got.collect())) == [(1, 10, 0), (1, 11, 2), (2, 11, 1)]
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 1), (1, 11, 2), (2, 11, 0)]
+
+
+def test_names_by_rare_grams(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    names = [(i, " ".join("".join(r.choices("abc-", k=r.randint(1, 6))) for _ in range(r.randint(0, 4)))) for i in range(300)] + [(900, "x"), (901, "")]
+    queries = [(i, ["".join(r.choices("abc-", k=r.randint(3, 5))) for _ in range(r.randint(0, 3))]) for i in range(200)] + [(900, ["abc"]), (901, ["zzz", "abc"])]
+    a, b = spark.createDataFrame(queries, "qid int, words array<string>"), spark.createDataFrame(names, "nid int, name string")
+    want = sorted((q, n) for q, w in queries for n, name in names if w and all(x in name for x in w))
+    for share, floor in ((0.01, 50), (0.02, 1), (1.0, 1)):
+        monkeypatch.setattr(research, "GRAM_SHARE", share)
+        monkeypatch.setattr(research, "GRAM_FLOOR", floor)
+        assert sorted(map(tuple, research.names_with_words(a, b).collect())) == want
+    assert len(want) > 100 and research.names_with_words(a.limit(0), b).count() == 0 and research.names_with_words(a, b.limit(0)).count() == 0

@@ -204,6 +204,7 @@ def test_jobs(spark):
     table = spark.createDataFrame([(1, 1, "ready", "a"), (2, 2, "ready", "a"), (3, 3, "ready", ""), (4, 4, "done", "z")], "id int, created_at int, status string, sku string")
     matches = spark.createDataFrame([(2, 7, 0.9), (3, 7, 0.9), (4, 7, 0.5)], "id int, product_id int, score double")
     assert sorted(rows_of(jobs.superseded(table, matches), "old", "new")) == [(1, 2), (2, 3)]
+    assert sorted(rows_of(jobs.replaced_by(table, matches), "old", "new")) == [(1, 2), (2, 3)]
     assert rows_of(jobs.history(table, 2), "id") == [(4,), (3,)]
     assert rows_of(jobs.upgraded(table, {"tries": 0, "sku": "none"}), "id", "tries")[0] == (1, 0)
     updates = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b")], "id int, seq int, state string")
