@@ -213,12 +213,16 @@ def text_rules(t):
 
 
 @query("""
-    WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
-    SELECT p_partkey, list_aggregate(list_transform(w, lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') || ' de Uva' AS title, 'emoji,separators,store_name' AS adjustments FROM w""")
+    WITH w AS (SELECT p_partkey, list_concat(list_concat(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ['DE', 'Uva', '350ml', 'USB', p_type[1] || lower(p_type[2:]), 'Chum-Churum']),
+        CASE WHEN p_partkey % 3 = 0 THEN ['com', 'Arroz', 'com', 'Arroz', 'com', 'Arroz', 'com', 'Arroz'] ELSE [] END) AS w FROM part),
+    f AS (SELECT *, array_to_string(w, ' ') AS whole, list_max(list_filter(range(3, len(w) + 1), lambda k: k = 3 OR len(array_to_string(w[1:k], ' ')) <= 70)) AS k FROM w)
+    SELECT p_partkey, CASE WHEN len(whole) > 70 THEN array_to_string(w[1:k], ' ') ELSE whole END AS title, 'emoji,separators,store_name' || CASE WHEN len(whole) > 70 THEN ',length' ELSE '' END AS adjustments FROM f""")
 def enforced_titles(t):
-    """Titles without emoji, keyword tails and the store's name, in title case."""
-    made = t("part").select("p_partkey", tx.enforce_title(F.concat(F.lit("🍓 "), "p_name", F.lit(" DE UVA ACME SHOP | promo")), ("Acme Shop",)).alias("m"))
-    return made.select("p_partkey", F.regexp_replace("m.title", " (?:DE|De) (?:UVA|Uva)$", " de Uva").alias("title"), F.array_join("m.adjustments", ",").alias("adjustments"))
+    """Titles without emoji, keyword tails and the store's name, in title case, of at most 70 characters in whole words."""
+    long_ = F.when(F.col("p_partkey") % 3 == 0, F.repeat(F.lit(" com arroz"), 4)).otherwise("")
+    raw = F.concat(F.lit("🍓 "), "p_name", F.lit(" DE uva 350ML USB "), "p_type", F.lit(" chum-churum"), long_, F.lit(" ACME SHOP | promo"))
+    made = t("part").select("p_partkey", tx.enforce_title(raw, ("Acme Shop",)).alias("m"))
+    return made.select("p_partkey", "m.title", F.array_join("m.adjustments", ",").alias("adjustments"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s = 0 THEN 'network' WHEN s IN (401, 403) THEN 'credentials' WHEN s IN (402, 429) THEN 'quota' WHEN s >= 500 OR s = 408 THEN 'network' WHEN s IS NULL THEN 'network' ELSE 'unknown' END AS kind
@@ -320,7 +324,7 @@ def checked_inputs(t):
 
 
 @query("""
-    WITH g AS (SELECT unnest(generate_series(1, 400)) AS id), a AS (SELECT c_custkey AS id, ([200, 401, 403, 404, 404, 404, 500])[1 + c_custkey % 7] AS p, ([200, 403, 404, 500])[1 + c_custkey % 4] AS m FROM customer)
+    WITH g AS (SELECT unnest(generate_series(1, (SELECT max(c_custkey) FROM customer))) AS id), a AS (SELECT c_custkey AS id, ([200, 401, 403, 404, 404, 404, 500])[1 + c_custkey % 7] AS p, ([200, 403, 404, 500])[1 + c_custkey % 4] AS m FROM customer)
     SELECT g.id, CASE WHEN p = 200 THEN 'published' WHEN p IN (401, 403) THEN 'hidden_product' WHEN p <> 404 THEN 'unresolved' WHEN m = 200 THEN 'media' WHEN m IN (401, 403) THEN 'hidden_media' WHEN m = 404 THEN 'other_or_deleted' ELSE 'unresolved' END AS kind
     FROM g LEFT JOIN a ON a.id = g.id WHERE g.id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 = 0)""")
 def classified_ids(t):
@@ -328,12 +332,12 @@ def classified_ids(t):
     c, k = t("customer"), F.col("c_custkey")
     of = lambda codes: F.get(F.array(*map(F.lit, codes)), (k % len(codes)).cast("int"))
     answers = c.select(k.alias("id"), of((200, 401, 403, 404, 404, 404, 500)).alias("product_status"), of((200, 403, 404, 500)).alias("media_status"))
-    return snapshots.classify_ids(c.sparkSession, 400, t("part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id")), answers)
+    return snapshots.classify_ids(c.sparkSession, c.agg(F.max("c_custkey")).first()[0] or 0, t("part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id")), answers)
 
 
 @query("""
     WITH n AS (SELECT DISTINCT o_orderpriority || '-' || o_custkey % 40 AS slug FROM orders), e AS (SELECT DISTINCT o_orderpriority || '-' || o_custkey % 40 AS slug FROM orders WHERE o_custkey % 40 < 9)
-    SELECT count(*) AS slugs, count(DISTINCT slug) AS different, (SELECT count(*) FROM e) AS kept, (SELECT count(*) FROM n) AS highest FROM n""")
+    SELECT n.slug, e.id AS kept, true AS next_free FROM n LEFT JOIN (SELECT slug, row_number() OVER (ORDER BY slug) AS id FROM e) e USING (slug)""")
 def get_or_create(t):
     """Terms by slug: existing ones keep their ids, new ones get the next ones, none twice."""
     slug = F.concat("o_orderpriority", F.lit("-"), F.col("o_custkey") % 40)
@@ -343,7 +347,11 @@ def get_or_create(t):
     made = snapshots.get_or_create(o.select(slug.alias("slug")), existing)
     known = existing.select("slug", F.col("id").alias("was"))
     both = made.join(known, "slug", "left")
-    return both.agg(F.count("*").alias("slugs"), F.countDistinct("id").alias("different"), F.count_if(F.col("id") == F.col("was")).alias("kept"), F.max("id").alias("highest"))
+    # which new slug gets which number isn't set; together they have the numbers after the existing ones, each once
+    counts = existing.agg(F.count("*").alias("known_ids"), F.max("id").alias("top")).crossJoin(both.agg(F.count("*").alias("slugs"), F.countDistinct("id").alias("ids"), F.max("id").alias("highest")))
+    free = (F.col("ids") == F.col("slugs")) & (F.col("highest") == F.col("top") + F.col("slugs") - F.col("known_ids"))
+    kept = F.when(F.col("id") == F.col("was"), F.col("was"))
+    return both.join(F.broadcast(counts)).select("slug", kept.alias("kept"), (free & (F.col("was").isNotNull() | (F.col("id") > F.col("top")))).alias("next_free"))
 
 
 # -- scores --------------------------------------------------------------------------------------------------------------
