@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, slices
+from .shared import free_names, materialize, slices
 
 #: Parameters of BM25, items in a block, bytes of test items that one index may hold.
 K1, B, ITEM_BLOCK, INDEX_BYTES = 1.2, 0.75, 16, 16 << 20
@@ -265,5 +265,5 @@ def without_benchmark(
                 at += len(part)
             yield pd.Series(out)
 
-    marked = docs.withColumn("__held", held(F.col(text_col)))
-    return marked.where("NOT __held").drop("__held")
+    (mark,) = free_names(docs.columns, "held")
+    return docs.withColumn(mark, held(F.col(text_col))).where(~F.col(mark)).drop(mark)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_names, materialize
 
 #: Bits of the hash that a histogram resolves, and the number of nested histograms; together they cover all 60 bits.
 LEVEL_BITS, LEVELS = 12, 5
@@ -102,7 +102,9 @@ def mix_to_targets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, most=most)
     new = ("size", "source_size", "target", "taken", "copies")
     keep = [c for c in docs.columns if c not in new]
-    named = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
-    joined = docs.select(*keep, text_size(text_col).alias("size"), row_hash(id_col, text_col).alias("__hash")).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
-    copies = (F.col("__whole") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0)).cast("long")
-    return joined.select(*keep, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    hash_, *others = free_names([*docs.columns, *new], "hash", *(f"plan_{c}" for c in plan.columns))
+    name = dict(zip(plan.columns, others, strict=True))
+    named = plan.select(*(F.col(c).alias(n) for c, n in name.items()))
+    joined = docs.select(*keep, text_size(text_col).alias("size"), row_hash(id_col, text_col).alias(hash_)).join(named, F.col(source_col).eqNullSafe(F.col(name["of"])))
+    copies = (F.col(name["whole"]) + F.when(F.col(hash_) < F.col(name["below"]), 1).otherwise(0)).cast("long")
+    return joined.select(*keep, "size", F.col(name["source_size"]).alias("source_size"), F.col(name["target"]).alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))

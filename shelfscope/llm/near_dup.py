@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import drop_table, materialize, slices, text_key
+from .shared import drop_table, free_names, materialize, slices, text_key
 
 WORDS = 5
 #: Components of a signature, and its bands: at a similarity of 0.8 a pair shares no band with a probability of 5e-8.
@@ -283,11 +283,12 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stay only where no row of their class has an id. Only the row that is a copy goes, not others with its id."""
     judged = _judged(docs, id_col, text_col, least).where("first IS NOT NULL")
     first = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("key") == F.col("first.key"))
-    rows = materialize(judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.max(first).alias("__stays"), (F.count("*") > 1).alias("__many")), "judged")
-    same = (F.col("__key") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    key, of, id_, stays, many = free_names(docs.columns, "key", "of", "id", "stays", "many")
+    rows = materialize(judged.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(of)).agg(F.max(first).alias(stays), (F.count("*") > 1).alias(many)), "judged")
+    same = (F.col(key) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(id_))
     # only rows that go or are repeated are joined; the same kind of join at every size, whose shuffle both readings below share
-    rows = rows.where("NOT __stays OR __many").hint("merge")
-    kept = docs.withColumn("__key", text_key(text_col)).join(rows, same, "left").where(F.coalesce("__stays", F.lit(True)))
-    several = F.coalesce("__many", F.lit(False))
+    rows = rows.where(~F.col(stays) | F.col(many)).hint("merge")
+    kept = docs.withColumn(key, text_key(text_col)).join(rows, same, "left").where(F.coalesce(stays, F.lit(True)))
+    several = F.coalesce(many, F.lit(False))
     repeated = kept.where(several).select(*docs.columns).dropDuplicates([id_col, text_col])
     return kept.where(~several).select(*docs.columns).unionByName(repeated)

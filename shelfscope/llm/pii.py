@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import free_names, pieces
 
 #: Order of kinds in a list of spans; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -190,11 +190,11 @@ def find_personal_data(docs: DataFrame, *, text_col: str = "text", spans_col: st
             cut = [redact(t, s) if s and redacted_col else None for t, s in zip(texts, found, strict=True)]
             yield pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], "redacted": cut})
 
-    with_both = docs.withColumn("__pii", scanned(F.col(text_col)))
-    out = with_both.withColumn(spans_col, F.col("__pii.spans"))
+    (both,) = free_names([*docs.columns, spans_col, redacted_col or ""], "pii")
+    out = docs.withColumn(both, scanned(F.col(text_col))).withColumn(spans_col, F.col(both)["spans"])
     if redacted_col:
-        out = out.withColumn(redacted_col, F.coalesce(F.col("__pii.redacted"), F.col(text_col)))
-    return out.drop("__pii")
+        out = out.withColumn(redacted_col, F.coalesce(F.col(both)["redacted"], F.col(text_col)))
+    return out.drop(both)
 
 
 def span_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names of columns for the time being, each with as many underscores before it as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let_go(spark: SparkSession) -> None:
     """Shuffle files go when the driver collects its garbage; ask for it where a step leaves many behind."""
     gc.collect()
