@@ -9,6 +9,8 @@ from shelfscope.operators import audit, diagnostics, jobs, plan, verify
 from shelfscope.operators.components import connected_components
 from shelfscope.sources import snapshots
 
+from . import evidence_plain as plain
+
 
 def product(i, name, **more):
     base = {
@@ -169,10 +171,10 @@ def test_facts(spark):
     assert {r.fact_id for r in verify.verify_facts(table, sources).collect() if r.verified} == {1, 5, 6}
     other = spark.createDataFrame([("s1", True, ["Uva"])], "source_id string, mentions boolean, aliases array<string>")
     assert {r.fact_id for r in verify.verify_facts(table, sources, other).collect() if r.verified} == {6}
-    assert verify.find_quote("ingredientes: agua acucar sal limao 5", "ingredientes agua, açúcar, sal, 5 gotas de limao e mel") and not verify.find_quote("agua acucar 7", "agua acucar 8 sal")
+    assert plain.find_quote("ingredientes: agua acucar sal limao 5", "ingredientes agua, açúcar, sal, 5 gotas de limao e mel") and not plain.find_quote("agua acucar 7", "agua acucar 8 sal")
     rows = [("Valor energético", "100 kcal"), ("Carboidratos", "20 g"), ("Sódio", "5 mg")]
     text = "Porção de 30 g: energia 100 kcal; carboidrato 20 g; sodio 5 mg"
-    assert verify.nutrition_holds("30 g", rows, text) and not verify.nutrition_holds("30 g", [*rows[:2], ("Sódio", "6 mg")], text) and not verify.nutrition_holds("31 g", rows, text)
+    assert plain.nutrition_holds("30 g", rows, text) and not plain.nutrition_holds("30 g", [*rows[:2], ("Sódio", "6 mg")], text) and not plain.nutrition_holds("31 g", rows, text)
     tables = spark.createDataFrame([(1, "30 g", rows, ["s3"])], "table_id int, serving string, rows array<struct<nutrient:string,amount:string>>, source_ids array<string>")
     assert verify.verify_nutrition(tables, spark.createDataFrame([("s3", "t", text)], "source_id string, title string, text string")).first().verified
 
