@@ -50,6 +50,54 @@ def verify_nutrition(t):
     return verify.verify_nutrition(tables, p.select(F.col("p_partkey").alias("source_id"), text.alias("text"))).select("table_id", "verified")
 
 
+# The tenth to the twentieth word of each document without one of them is a quote; the document and the next one are its sources.
+_QUOTES = """d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents),
+    w AS (SELECT *, string_split(plain, ' ') AS words FROM d),
+    f AS (SELECT doc_id AS fact_id, unnest([doc_id, doc_id + 1]) AS source_id, array_to_string(list_concat(words[10:13], words[15:20]), ' ') AS quote FROM w),
+    t AS (SELECT f.*, plain, words, list_filter(string_split(quote, ' '), lambda x: len(x) >= 3 OR regexp_matches(x, '[0-9]')) AS telling,
+          list_distinct(list_transform(regexp_extract_all(quote, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1'))) AS numbers, strpos(plain, quote) AS place
+          FROM f JOIN w ON w.doc_id = source_id WHERE len(quote) >= 3),
+    g AS (SELECT *, 3 * len(telling) AS wide, list_distinct(telling) AS wanted FROM t WHERE place = 0 AND len(telling) >= 2),
+    e AS (SELECT *, list_filter(range(1, len(words) + 1), lambda i: i = 1 OR list_contains(wanted, words[i + wide - 1]) OR regexp_matches(words[i + wide - 1], '[0-9]')) AS entries
+          FROM g WHERE len(list_intersect(wanted, words)) / len(wanted) >= 0.85),
+    c AS (SELECT *, list_filter(entries, lambda i: len(list_intersect(wanted, words[i:i + wide - 1])) / len(wanted) >= 0.85) AS covered FROM e),
+    b AS (SELECT *, list_min(list_filter(covered, lambda i: len(list_intersect(numbers, list_transform(regexp_extract_all(array_to_string(words[i:i + wide - 1], ' '), '[0-9]+'),
+          lambda x: regexp_replace(x, '^0+([0-9])', '\\1')))) = len(numbers))) AS start FROM c),
+    q AS (SELECT fact_id, source_id, substr(plain, greatest(place - 300, 1), place + len(quote) + 300 - greatest(place - 300, 1)) AS part FROM t WHERE place > 0
+          UNION ALL SELECT fact_id, source_id, array_to_string(words[greatest(start - 40, 1):start + wide + 39], ' ') FROM b WHERE start IS NOT NULL)"""
+
+
+def _quotes(t) -> tuple:
+    """Documents as plain sources with their words, and the quotes of _QUOTES."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " "))
+    d = t("documents").select("doc_id", plain.alias("plain")).withColumn("words", F.split("plain", " "))
+    quote = F.array_join(F.concat(F.slice("words", 10, 4), F.slice("words", 15, 6)), " ")
+    return d, d.select(F.col("doc_id").alias("fact_id"), F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("source_ids"), quote.alias("quote"), "words")
+
+
+@query(f"WITH {_QUOTES} SELECT fact_id, source_id, part AS stretch FROM q")
+def evidence_windows(t):
+    """Where sources hold quotes that lack a word, or hold them to the letter."""
+    d, f = _quotes(t)
+    return verify.find_quotes(f.select("fact_id", F.explode("source_ids").alias("source_id"), "quote"), d.select(F.col("doc_id").alias("source_id"), "plain")).withColumnRenamed("window", "stretch")
+
+
+@query(f"""
+    WITH {_QUOTES}, v AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 5 = 0 THEN false WHEN doc_id % 3 <> 2 THEN true END AS mentions, CASE WHEN doc_id % 3 = 0 THEN words[18] ELSE 'zzzq' END AS name FROM w),
+    k AS (SELECT fact_id, bool_or((fact_id % 4 <> 0 OR list_contains(regexp_extract_all(part, '[0-9]+'), '7'))
+          AND (fact_id % 2 = 1 OR NOT coalesce(NOT mentions OR (name IS NOT NULL AND mentions AND NOT (len(name) >= 2 AND contains(' ' || part || ' ', ' ' || name || ' '))), false))) AS good
+          FROM q JOIN v USING (source_id) GROUP BY 1)
+    SELECT doc_id AS fact_id, coalesce(good, false) AS verified FROM w LEFT JOIN k ON fact_id = doc_id""")
+def evidence_variants(t):
+    """Facts from quotes with a gap, whose numbers stand nearby and, for fields that change with the variant, its name too."""
+    d, f = _quotes(t)
+    facts = f.select("fact_id", F.when(F.col("fact_id") % 2 == 0, "color").otherwise("material").alias("field"), F.when(F.col("fact_id") % 4 == 0, "azul 7").otherwise("azul").alias("value"), F.col("quote").alias("evidence"), "source_ids")
+    k = F.col("doc_id")
+    name = F.when(k % 3 == 0, F.get("words", F.lit(17))).otherwise("zzzq")
+    variant = d.select(k.alias("source_id"), F.when(k % 5 == 0, False).when(k % 3 != 2, True).alias("mentions"), F.when(name.isNotNull(), F.array(name)).alias("aliases"))
+    return verify.verify_facts(facts, d.select(k.alias("source_id"), F.lit("").alias("title"), F.col("plain").alias("text")), variant).select("fact_id", "verified")
+
+
 # -- research ------------------------------------------------------------------------------------------------------------
 
 _HITS = """SELECT o_custkey AS item_id, o_orderkey AS pos, 'http://shop.example/' || (o_orderkey % 4) || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '#top' ELSE '/?utm_source=x' END AS url,
