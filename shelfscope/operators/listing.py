@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,22 +162,3 @@ def input_errors(name: Column, url: Column, stock: Column) -> Column:
     return sets.flags((
         ("name", ~F.coalesce(F.length(F.trim(name)).between(3, 200), F.lit(False))), ("url", (F.coalesce(url, F.lit("")) != "") & ~url.rlike("(?i)^https?://")), ("stock", ~F.coalesce(stock.between(0, 100_000), F.lit(False))),
     ))
-
-
-def greedy_images(images: DataFrame, most: int = 12, apart: int = 5) -> DataFrame:
-    """Of each product's images (product_id, image_id, width, height, hash) the largest first, without those that look like one taken.
-
-    Whether an image stays depends on those before it, so a product's images, which are few, are read together.
-    """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(area=rows["width"] * rows["height"]).sort_values(["area", "image_id"], ascending=[False, True])
-        taken: list[int] = []
-        keep = []
-        for h in rows["hash"]:
-            good = all(((h ^ t) & (2**64 - 1)).bit_count() > apart for t in taken)
-            keep.append(good)
-            taken += [h] if good else []
-        return rows[keep].drop(columns="area").head(most)
-
-    return images.groupBy("product_id").applyInPandas(pick, images.schema)

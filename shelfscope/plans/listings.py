@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import jobs, listing, plan, research, similarity, verify
+from ..operators import jobs, listing, near, plan, research, similarity, verify
 from ..sources import snapshots
 from .catalogue import query
 
@@ -354,7 +354,7 @@ def greedy_images(t):
     """Of a product's images the largest first, without those that look like one that was taken."""
     look = F.get(F.array(F.lit(0).cast("long"), F.lit(0xFF).cast("long"), F.lit(0xFF00FF00).cast("long")), (F.col("l_linenumber") % 3).cast("int"))
     images = t("lineitem").select(F.col("l_orderkey").alias("product_id"), F.col("l_linenumber").cast("long").alias("image_id"), F.col("l_quantity").cast("long").alias("width"), F.lit(1).cast("long").alias("height"), look.alias("hash"))
-    return listing.greedy_images(images).groupBy("product_id").agg(F.count("*").alias("images"), F.sum("image_id").alias("ids"))
+    return near.greedy_images(images).groupBy("product_id").agg(F.count("*").alias("images"), F.sum("image_id").alias("ids"))
 
 
 @query("""
@@ -368,6 +368,15 @@ def checked_inputs(t):
     return p.select("p_partkey", plan.enforced_kind(F.col("p_type"), said, r"\bvinho\b", "sem alcool").alias("kind"), F.array_join(errors, ",").alias("errors"))
 
 
+@query("""WITH h AS (SELECT vec_id, list_transform(embedding[1:24], lambda x: (x > 0)::INTEGER) AS s FROM embeddings),
+    p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.s, y.s), lambda z: abs(z[1] - z[2])))::INTEGER AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id)
+    SELECT * FROM p WHERE distance <= 3""")
+def near_signs(t):
+    """Pairs of the whole table whose first 24 sign bits differ in at most 3 places; only rows with a part within a bit meet."""
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 24), lambda x: F.when(x > 0, 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, x: a * 2 + x)
+    return near.near_hashes(t("embeddings").select(F.lit(0).alias("within"), F.col("vec_id").alias("id"), bits.alias("hash")), apart=3, bits=24).drop("within")
+
+
 # -- sources -------------------------------------------------------------------------------------------------------------
 
 

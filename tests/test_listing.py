@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfscope.functions import text as tx
-from shelfscope.operators import listing, research
+from shelfscope.operators import listing, near, research
 
 
 def test_skus_are_stable_and_follow_the_variant(spark):
@@ -47,7 +47,7 @@ def test_errors_and_inputs(spark):
 
 def test_images(spark):
     rows = [(1, 1, 10, 10, 0b0), (1, 2, 20, 20, 0b111), (1, 3, 5, 5, 0b11111111), (1, 4, 30, 30, -1), (2, 9, 1, 1, 0)]
-    got = listing.greedy_images(spark.createDataFrame(rows, "product_id int, image_id int, width int, height int, hash long"))
+    got = near.greedy_images(spark.createDataFrame(rows, "product_id int, image_id int, width int, height int, hash long"))
     assert sorted((r.product_id, r.image_id) for r in got.collect()) == [(1, 2), (1, 4), (2, 9)]
     sources = spark.createDataFrame([(1, "S1", "reference", 1, ["http://x/a-100x100.jpg", "http://x/logo.png"]), (1, "S2", "web", 2, ["http://x/a.jpg?v=1", " http://x/b.jpg ", "data:xx"])], "item_id int, source_id string, origin string, place int, images array<string>")
     assert [(r.url, r.source_id) for r in research.image_candidates(sources).orderBy("priority").collect()] == [("http://x/a-100x100.jpg", "S1"), ("http://x/b.jpg", "S2")]
