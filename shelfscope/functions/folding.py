@@ -101,3 +101,8 @@ def numbers(plain: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(whole, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
     return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit("([0-9]+(?:\\.[0-9]+)?)"), F.lit(1)), bare))
+
+
+def digits(plain: Column) -> Column:
+    """The distinct runs of digits of a text as they stand: 07 is not 7."""
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit("([0-9]+)"), F.lit(1)))
