@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CJK
+from .text import CJK, bound
 
 # Quotes that read as an apostrophe, and the sizes of the Hangul alphabet.
 QUOTES = "‘’´`"
@@ -25,11 +24,6 @@ _APART = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-
 _GROUPED = r"[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?(?![0-9])"
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 @cache
 def letters() -> tuple[str, str, dict[str, str]]:
     """Letters that become one other, what they become (letters beyond its end go), and those that become several."""
