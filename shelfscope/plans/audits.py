@@ -103,20 +103,20 @@ _SHOWN = "CASE WHEN image_1 = image_2 THEN {a} ELSE {a} || ',' || {b} END"
     SELECT id, name, sku_t AS sku, sku_t = '' AS sku_missing, sku_t <> '' AND same_sku > 1 AS sku_duplicated, stock <= 10 AS out_of_stock, CASE WHEN image_1 = image_2 THEN 1 ELSE 2 END AS images_count, CASE WHEN image_1 = image_2 THEN 1 ELSE 0 END AS images_repeated_entries,
         {_SHOWN.format(a=_class_sql("name_1"), b=_class_sql("name_2"))} AS image_name_classes, (CASE WHEN image_1 % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN image_2 % 2 = 0 THEN 1 ELSE 0 END)::INTEGER AS images_alt_empty,
         same_image > 1 AS featured_image_shared, len(descr) AS description_chars, CASE WHEN descr = '' THEN 0 ELSE len(string_split(descr, ' ')) END AS description_words, descr = '' AS description_missing, descr <> '' AND len(string_split(descr, ' ')) < 60 AS description_thin,
-        short = '' AS short_description_missing, descr <> '' AND same_desc > 1 AS description_identical, round_even(k::DOUBLE / n, 2) AS boilerplate_ratio, len(regexp_extract_all(name, '{_EMOJI}')) AS emoji_title, {_FLAG(_TITLE_RULES)} AS title_flags,
+        short = '' AS short_description_missing, descr <> '' AND same_desc > 1 AS description_identical, k, n, round_even(k::DOUBLE / n, 2) AS boilerplate_ratio, len(regexp_extract_all(name, '{_EMOJI}')) AS emoji_title, {_FLAG(_TITLE_RULES)} AS title_flags,
         {_FLAG((("numeric_suffix(slug_collision)", "regexp_matches(slug, '-[0-9]+$')"), ("copy_marker", "regexp_matches(slug, 'copia|copy|duplicad')"), ("too_long", "len(slug) > 75")))} AS slug_flags,
         array_to_string(cats, ',') AS categories, len(cats) > 0 AND len(list_filter(cats, lambda c: c NOT IN ('food-and-drink', 'offers'))) = 0 AS only_generic_categories, list_contains(cats, 'offers') AND NOT on_sale AS in_offers_category_without_sale,
         brand IS NULL AS brand_missing, try_cast(weight AS DOUBLE) AS weight_kg, weight = '' AS weight_missing, CASE WHEN length = '' THEN 'length,height' ELSE 'height' END AS dimensions_missing, {_NET} AS net_content,
         coalesce(try_cast(weight AS DOUBLE) * 1000 < {_NET} * 0.9, false) AS weight_below_net_content, {", ".join(f"regexp_matches({_TEXT_F}, '{p}') AS has_{c}" for c, p in audit.CHECKS.items())}
     FROM named""")
 def audit_scorecard(t):
-    """Each listing's checks, with its share of common sentences to two places."""
+    """Each listing's checks, with its sentences, the common ones among them and their share to two places."""
     rows = cards(t)
     joined = lambda x: F.array_join(x, ",")
     return rows.select(
         "id", "name", "sku", "sku_missing", "sku_duplicated", (F.col("stock_class") == "out-of-stock").alias("out_of_stock"), "images_count", "images_repeated_entries", joined("image_name_classes").alias("image_name_classes"), "images_alt_empty",
         F.col("featured_image_shared_with_other_products").alias("featured_image_shared"), F.col("description_chars").cast("long").alias("description_chars"), F.col("description_words").cast("long").alias("description_words"), "description_missing", "description_thin",
-        "short_description_missing", F.col("description_identical_to_other_product").alias("description_identical"), "boilerplate_ratio",
+        "short_description_missing", F.col("description_identical_to_other_product").alias("description_identical"), F.col("sentences_common").alias("k"), F.col("sentences").alias("n"), "boilerplate_ratio",
         F.col("emoji_title").cast("long").alias("emoji_title"), F.array_join("title_flags", ";").alias("title_flags"), F.array_join("slug_flags", ";").alias("slug_flags"), joined("categories").alias("categories"), "only_generic_categories", "in_offers_category_without_sale",
         "brand_missing", "weight_kg", "weight_missing", joined("dimensions_missing").alias("dimensions_missing"), F.col("net_content_from_title_g_or_ml").alias("net_content"), "weight_below_net_content", *(f"has_{x}" for x in audit.CHECKS),
     )
