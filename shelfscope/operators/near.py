@@ -17,7 +17,7 @@ def near_hashes(rows: DataFrame, *, apart: int, bits: int = 64, radius: int = 1)
     rows: within, id, hash (long); rows without a hash or a `within` are in no pair. The hash is cut into so many parts that one of
     them must differ in at most `radius` bits; each row is found under its own parts and asks for all parts within the radius, so only
     such rows meet. A pair is kept where its first such part met, so no pair comes twice. Equal hashes still meet pair by pair:
-    collapse them first where that matters.
+    collapse them first where that matters. A `within` of no more rows than a row would ask for keys is one row and pairs its hashes itself.
     """
     parts = apart // (radius + 1) + 1
     if parts * max(1, radius) > bits:
@@ -26,7 +26,14 @@ def near_hashes(rows: DataFrame, *, apart: int, bits: int = 64, radius: int = 1)
     whole = F.col("hash") if bits == 64 else F.col("hash").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     cut = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
     flips = [[sum(1 << p for p in at) for n in range(radius + 1) for at in combinations(range(edges[i + 1] - edges[i]), n)] for i in range(parts)]
-    known = rows.where(F.col("hash").isNotNull()).select("within", "id", whole.alias("hash"))
+    all_ = rows.where(F.col("hash").isNotNull() & F.col("within").isNotNull()).select("within", "id", whole.alias("hash"))
+    many = all_.groupBy("within").agg(F.count("*").alias("n")).where(F.col("n") > sum(map(len, flips))).select("within")
+    known = all_.join(many, "within", "left_semi")
+    listed = all_.join(many, "within", "left_anti").groupBy("within").agg(F.collect_list(F.struct("id", "hash")).alias("x")).where(F.size("x") > 1)
+    apart_ = lambda a, b: F.bit_count(a["hash"].bitwiseXOR(b["hash"]))
+    near = lambda a: F.filter("x", lambda b: (a["id"] < b["id"]) & (apart_(a, b) <= apart))
+    few = F.flatten(F.transform("x", lambda a: F.transform(near(a), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b"), apart_(a, b).alias("distance")))))
+    few = listed.select("within", F.inline(few))
     own = F.array(*(F.struct(F.lit(i).alias("part"), cut(F.col("hash"), i).alias("key")) for i in range(parts)))
 
     def around(i: int) -> Column:
@@ -39,7 +46,7 @@ def near_hashes(rows: DataFrame, *, apart: int, bits: int = 64, radius: int = 1)
     differ: Column = F.col("here").bitwiseXOR(F.col("there"))
     first = reduce(lambda rest, i: F.when(F.bit_count(cut(differ, i)) <= radius, i).otherwise(rest), reversed(range(parts)), F.lit(None).cast("int"))
     met = probes.join(index, ["within", "part", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= apart) & (first == F.col("part")))
-    return met.select("within", "a", "b", F.bit_count(differ).alias("distance"))
+    return met.select("within", "a", "b", F.bit_count(differ).alias("distance")).unionByName(few)
 
 
 def greedy_images(images: DataFrame, most: int = 12, apart: int = 5) -> DataFrame:
