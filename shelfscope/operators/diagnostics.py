@@ -172,14 +172,15 @@ def empty_terms(t: Read) -> DataFrame:
 
 
 def orders_of_deleted(t: Read) -> DataFrame:
-    sold = t("wp_wc_order_product_lookup").join(_posts(t).select("ID"), F.col("product_id") == F.col("ID"), "left_anti")
-    return sold.groupBy("product_id").agg(F.count("*").alias("order_lines"), F.min("date_created").alias("first_sale"), F.max("date_created").alias("last_sale")).orderBy(F.col("order_lines").desc())
+    """Lines by product before the join: a product of very many lines is one row in it."""
+    lines = t("wp_wc_order_product_lookup").groupBy("product_id").agg(F.count("*").alias("order_lines"), F.min("date_created").alias("first_sale"), F.max("date_created").alias("last_sale"))
+    return lines.join(_posts(t).select("ID"), F.col("product_id") == F.col("ID"), "left_anti").orderBy(F.col("order_lines").desc())
 
 
 def order_items_of_deleted(t: Read) -> DataFrame:
-    items = t("wp_woocommerce_order_itemmeta").where("meta_key = '_product_id'").select(F.col("meta_value").alias("product_id"))
-    gone = items.join(_posts(t).select("ID"), _as_id("product_id") == F.col("ID"), "left_anti")
-    return gone.groupBy("product_id").agg(F.count("*").alias("order_lines")).orderBy(F.col("order_lines").desc())
+    """Lines by product before the join, as in orders_of_deleted; text that is no number is no post."""
+    items = t("wp_woocommerce_order_itemmeta").where("meta_key = '_product_id'").groupBy(F.col("meta_value").alias("product_id")).agg(F.count("*").alias("order_lines"))
+    return items.join(_posts(t).select("ID"), _as_id("product_id") == F.col("ID"), "left_anti").orderBy(F.col("order_lines").desc())
 
 
 def authors(t: Read) -> DataFrame:
