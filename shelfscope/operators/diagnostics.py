@@ -8,6 +8,7 @@ apart before they are joined, key and value rows are folded into one row in one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,8 @@ def collided_slugs(t: Read) -> DataFrame:
 
 
 def orphan_counts(t: Read) -> DataFrame:
-    posts = _posts(t).select(F.col("ID").alias("pid"))
+    """Rows of each check whose post is gone. Equal keys are counted before the join, so a key of very many rows is one row in it, and
+    the posts are read once for all checks."""
     checks = (
         ("postmeta without post", t("wp_postmeta"), "post_id"),
         ("term_relationships without post", t("wp_term_relationships"), "object_id"),
@@ -107,11 +109,11 @@ def orphan_counts(t: Read) -> DataFrame:
         ("attachments whose parent was deleted", _posts(t, "attachment").where("post_parent <> 0"), "post_parent"),
         ("comments/reviews without post", t("wp_comments"), "comment_post_ID"),
     )
-    out = None
-    for name, rows, key in checks:
-        one = rows.select(F.col(key).alias("k")).join(posts, F.col("k") == F.col("pid"), "left_anti").agg(F.lit(name).alias("check_name"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    keys = reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("check_name"), F.col(key).cast("bigint").alias("k")) for name, rows, key in checks))
+    counted = keys.groupBy("check_name", "k").agg(F.count("*").alias("n"))
+    gone = counted.join(_posts(t).select("ID"), F.col("k") == F.col("ID"), "left_anti").groupBy("check_name").agg(F.sum("n").alias("n"))
+    names = keys.sparkSession.range(1).select(F.explode(F.array(*(F.lit(c[0]) for c in checks))).alias("check_name"))
+    return names.join(gone, "check_name", "left").select("check_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def images_of_unpublished(t: Read) -> DataFrame:
