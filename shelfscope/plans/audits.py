@@ -226,7 +226,7 @@ def audit_media_totals(t):
 def audit_summary(t):
     """The audit's totals in one row."""
     c = materialize(cards(t), "audit-cards")
-    pairs, families = audit.duplicate_pairs(c, STORE), audit.variant_families(c, store_name=STORE)
+    pairs, families = audit.pair_counts(c, STORE), audit.variant_families(c, store_name=STORE)
     none = c.select("id").limit(0)
     return audit.summary(c, pairs, none, families).select(
         "published_products", "sku_missing", "out_of_stock", "products_with_single_image", "brand_missing", "products_with_emoji_in_title", "with_ingredients", "duplicate_candidate_pairs", "likely_duplicate_pairs", "variant_families", "products_in_variant_families", "pct_out_of_stock"
